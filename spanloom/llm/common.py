@@ -71,6 +71,17 @@ def one_column(df: DataFrame, column: str, default: str | None = None) -> DataFr
     return df.select((F.coalesce(c, F.lit(default)) if default is not None else c).alias(column))
 
 
+SMALL = 1_000_000
+
+
+def semi(df: DataFrame, keys: DataFrame, on: list[str], bound: int = SMALL) -> DataFrame:
+    """Rows of df whose `on` is among keys: by broadcast if there are at most `bound` of them, else by shuffle."""
+    keys = keys.select(*on).distinct()
+    if keys.count() <= bound:
+        keys = F.broadcast(keys)
+    return df.join(keys, on, "left_semi")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges (a, b), by alternating large-star and small-star.
 
@@ -114,15 +125,20 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     so that every pair between different components is tested: the components are exactly those of all
     linked pairs. If such rest work would exceed `slack` times the members, another star round goes first.
     """
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = materialise(members.join(counts, "key"), f"{name}-members")
+    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-buckets")
+    if counts.count() <= SMALL:
+        live = members.join(F.broadcast(counts), "key")
+    else:
+        live = members.join(counts, "key")
+    live = materialise(live, f"{name}-members")
     links, tested, comp = None, None, None
     total = live.count()
     for r in range(star_rounds + 1):
         if comp is None:
             marked = live.withColumn("c", F.col("id"))
         else:
-            marked = live.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+            marked = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+            # the only pair of a bucket of two is tested by now
             span = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
             marked = materialise(marked.join(span, "key"), f"{name}-marked")
             sizes = marked.groupBy("key", "c").agg(F.count("*").alias("n"))

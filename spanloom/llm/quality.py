@@ -135,18 +135,37 @@ def train(rows: DataFrame) -> Qda | float:
     return fit(n, [vec[y][1 : 1 + d] for y in (0, 1)], [vec[y][1 + d :].reshape(d, d) for y in (0, 1)])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learns from labels.quality of rows not held out."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Qda | float]:
+    """The table of statistics and the model of labels.quality of rows not held out."""
     ship(docs.sparkSession)
     table = materialise(features(docs), "quality-x")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(~held_out())
-    model = train(table.join(known, "doc_id").select("x", "y"))
+    return table, train(table.join(known, "doc_id").select("x", "y"))
+
+
+def _scores(model: Qda | float, x: np.ndarray) -> np.ndarray:
+    return np.full(len(x), model) if isinstance(model, float) else model.score(x)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, whose score is at least the threshold."""
+    model = learn(docs, labels)[1]
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(_scores(model, np.array([statistics(t) for t in text]).reshape(len(text), STATS)))
+
+    return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) >= threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learns from labels.quality of rows not held out."""
+    table, model = learn(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["x"].tolist()).reshape(len(b), STATS)
-            score = np.full(len(b), model) if isinstance(model, float) else model.score(x)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": _scores(model, x)})
 
     out = table.mapInPandas(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
