@@ -116,7 +116,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return out
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "link", star_rounds: int = 4, slack: int = 8) -> DataFrame:
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "link", star_rounds: int = 3, slack: int = 16) -> DataFrame:
     """Verified links (a < b) that connect everything which shares a bucket and passes verify.
 
     members: (key, id), ids comparable longs. verify: keeps the pairs (a, b) that are really linked.
