@@ -5,7 +5,7 @@ final. Underfull bins become items: they are gathered in groups of bounded size,
 so on up a tree until one group holds them all or a round gains next to nothing. A bin's pieces move as one
 block, so a round ships (bin, used) only and the pieces are renumbered by one join at the end.
 
-Memory: one partition's pieces (flushed every FLUSH of them), or GROUP bins, as narrow rows.
+Memory: one partition's pieces (flushed every FLUSH of them, or every FLUSH_IDS ids), or GROUP bins, as narrow rows.
 Null and empty texts are the single end id. Repeated rows are packed each. Extra columns are not read.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, ship
 
 FLUSH = 200_000
+#: Tokens held until they are packed, where the ids themselves are asked for.
+FLUSH_IDS = 4_000_000
 GROUP = 200_000
 NEARLY = 8
 ROUNDS = 6
@@ -136,6 +138,7 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, with_id
         tok = word_tokenizer(path)
         home, made = TaskContext.get().partitionId() << 36, 0
         rows: list[tuple] = []
+        tokens = 0
 
         def flush() -> pd.DataFrame:
             nonlocal made
@@ -154,7 +157,9 @@ def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, with_id
                     for k, at in enumerate(range(0, len(raw), step)):
                         x = raw[at : at + step]
                         rows.append((d, k, at // 4, len(x) // 4, zlib.crc32(x), *([np.frombuffer(x, "<u4").astype("i4")] if with_ids else [])))
-                if len(rows) >= FLUSH:
+                    tokens += len(raw) // 4
+                if len(rows) >= FLUSH or with_ids and tokens >= FLUSH_IDS:
+                    tokens = 0
                     yield flush()
         if rows:
             yield flush()
