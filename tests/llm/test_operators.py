@@ -210,7 +210,7 @@ def test_lines_against_brute_force(spark):
     texts = sorted({x for *_, x in occ if x})
     edges = [
         (a, b) for i, a in enumerate(texts) for b in texts[:i]
-        if hashes[a] is not None and hashes[b] is not None and bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= 3 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and levenshtein(a, b) <= 0.2 * max(len(a), len(b))
+        if hashes[a] is not None and hashes[b] is not None and bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a.split(), b.split()) <= 0.2 * max(len(a.split()), len(b.split()))
     ]
     assert edges
     root = roots(texts, edges)
