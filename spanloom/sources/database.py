@@ -110,8 +110,7 @@ class Database:
         """Postings of one whole term; of a saved database only its folder is read."""
         p = self.postings.where(F.col("term") == term)
         if "bucket" in self.postings.columns:
-            n = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(term)), F.lit(TERM_BUCKETS)).cast("int")).first()[0]
-            p = p.where(F.col("bucket") == n)
+            p = p.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(TERM_BUCKETS)).cast("int"))  # a constant to the optimizer
         return p
 
     def restricted(self, keep: DataFrame) -> Database:
