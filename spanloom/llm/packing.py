@@ -45,7 +45,7 @@ class WordTokenizer:
     call; ends of words are told by the vocabulary's end-of-word suffix. Any other text goes to the library whole.
     """
 
-    WORDS, PRETOKENS = 600_000, 400_000
+    WORDS, PRETOKENS = 1_000_000, 700_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
