@@ -120,13 +120,13 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     """Verified links (a < b) that connect everything which shares a bucket and passes verify.
 
     members: (key, id), ids comparable longs, and maybe mark, also a long. alive: SQL condition on a bucket's
-    (n, lo, hi), hi and lo being its outermost marks, by which buckets without any link are told early. verify: keeps the pairs (a, b) that are really linked.
+    n and x, the exclusive or of its marks, by which buckets without any link are told early. verify: keeps the pairs (a, b) that are really linked.
     A bucket never emits all its pairs. Star rounds test each member against one leader of its bucket.
     Then only members outside their bucket's largest component are tested against the rest of the bucket,
     so that every pair between different components is tested: the components are exactly those of all
     linked pairs. If such rest work would exceed `slack` times the members, another star round goes first.
     """
-    marks = [f("mark").alias(a) for f, a in ((F.min, "lo"), (F.max, "hi"))] if "mark" in members.columns else []
+    marks = [F.bit_xor("mark").alias("x")] if "mark" in members.columns else []
     counts = materialise(members.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1").where(alive).select("key", "n"), f"{name}-buckets")
     members = members.select("key", "id")
     if counts.count() <= SMALL:
