@@ -236,7 +236,9 @@ def test_lines_dedup_keeps_documents(spark):
 
 
 def test_line_bits_of_endless_lines(spark, monkeypatch):
-    t = docs(spark, [(1, words(300, 1)), (2, words(301, 2)), (3, "a b c d e f")])
+    t = docs(spark, [(1, words(300, 1)), (2, words(301, 2)), (3, "a b c d e f g h")])
+    short = lines.simhashes(docs(spark, [(4, "a b c d e f g"), (5, "a a a a a a a a a")]))
+    assert short.where("sim is not null").isEmpty()  # under eight distinct words: exact matches only
     packed = {r.doc_id: r.sim for r in lines.simhashes(t).collect()}
     monkeypatch.setattr(lines, "PACKED", 3)
     wide = {r.doc_id: r.sim for r in lines.simhashes(t).collect()}
