@@ -330,5 +330,64 @@ def key_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.neighbour_keys(_db(spark, sf_dir))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.doctypes import parse_files
+
+    pages = tables.table(spark, sf_dir, "pages").select(F.concat_ws("|", "page_id", "url").alias("path"), F.col("html").alias("content"))
+    return parse_files(pages, "HTML").withColumn("page_id", F.split("path", r"\|")[0].cast("bigint"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages")
+def doctype_html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by the spans that the HTML class emits."""
+    from .functions.text import byte_slice
+
+    f = _pages(spark, sf_dir).select("page_id", "text", F.explode("fields").alias("x")).where("x.field = 'TITLE'")
+    return f.select("page_id", byte_slice(F.col("text"), F.col("x.s"), F.col("x.e")).alias("title"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def doctype_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.text import byte_slice
+
+    f = _pages(spark, sf_dir).select("page_id", "text", F.explode("fields").alias("x")).where("x.field = 'A@HREF'")
+    return f.select("page_id", byte_slice(F.col("text"), F.col("x.s"), F.col("x.e")).alias("href"))
+
+
+@query("SELECT conv_id AS rec_id, count(*) AS turns FROM (SELECT conv_id, unnest(string_split(string_agg(role || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn), chr(10))) AS line FROM conversations GROUP BY conv_id) WHERE line LIKE 'user:%' GROUP BY 1")
+def doctype_tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tag: value files: fields named after the roles."""
+    from .sources.doctypes import parse_files
+
+    c = tables.table(spark, sf_dir, "conversations").withColumn("line", F.concat("role", F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    r = parse_files(files.select(F.col("conv_id").cast("string").alias("path"), "content"), "COLONDOC")
+    f = r.select(F.col("path").cast("bigint").alias("rec_id"), F.explode("fields").alias("x")).where("x.field = 'USER'")
+    return f.groupBy("rec_id").agg(F.count("*").alias("turns"))
+
+
+@query("SELECT term, levenshtein(term, 'there')::INT AS distance FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) WHERE levenshtein(term, 'there') <= 2")
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: terms within two edits, by a bounded distance on distinct terms."""
+    t = tables.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
+    d = F.levenshtein("term", F.lit("there"), 2)
+    return t.select("term", d.alias("distance")).where("distance >= 0")
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def function_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: the streaming aggregation over a bounded table."""
+    from .streaming.ingest import windowed_counts
+
+    e = tables.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").where("ts is not null")
+    w = windowed_counts(e, "ts", ["event_type"], "1 hour", "1 hour", "value")
+    return w.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
 _add_trees()
 _add_sorts()

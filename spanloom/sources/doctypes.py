@@ -345,7 +345,7 @@ def _tagged(t: str, start: str, line: str, names: dict[str, str], key: str | Non
 
 @doctype("RIS")
 def ris(t: str) -> Iterator[Record]:
-    return _tagged(t, r"^TY  - ", r"^([A-Z][A-Z0-9])  - (.*(?:\n(?![A-Z][A-Z0-9]  - ).*)*)", {"TY": "TYPE", "AU": "AUTHOR", "TI": "TITLE", "T1": "TITLE", "PY": "YEAR", "KW": "KEYWORD", "AB": "ABSTRACT", "JO": "JOURNAL"}, "ID")
+    return _tagged(t, r"^TY  - ", r"^([A-Z][A-Z0-9])  - ?(.*(?:\n(?![A-Z][A-Z0-9]  -).*)*)", {"TY": "TYPE", "AU": "AUTHOR", "TI": "TITLE", "T1": "TITLE", "PY": "YEAR", "KW": "KEYWORD", "AB": "ABSTRACT", "JO": "JOURNAL"}, "ID")
 
 
 @doctype("MEDLINE")
@@ -386,11 +386,51 @@ def marc(t: str) -> Iterator[Record]:
         yield r
 
 
+# -- archives and external programs
+
+
+@doctype("WARC")
+def warc(t: str) -> Iterator[Record]:
+    """A record of an archive: its WARC headers as fields, and the BODY of the stated length."""
+    at = 0
+    while m := re.compile(r"^WARC/[\d.]+\r?\n", re.M).search(t, at):
+        end = re.compile(r"\r?\n\r?\n").search(t, m.end())
+        if not end:
+            return
+        n = re.search(r"(?im)^Content-Length:\s*(\d+)", t[m.end() : end.start()])
+        stop = min(end.end() + int(n[1]) if n else len(t), len(t))
+        r = Record(t[m.start() : stop])
+        tag_values(r, m.end() - m.start(), end.start() - m.start() + 1)
+        r.add("BODY", end.end() - m.start(), stop - m.start())
+        r.key = r.value("WARC-RECORD-ID") or r.value("WARC-TARGET-URI")
+        yield r
+        at = max(stop, end.end())
+
+
+def external(files: DataFrame, argv: list[str], timeout: float = 60.0) -> DataFrame:
+    """(path, content) with every content replaced by what a program, asked for by the caller, makes of it; null if it fails."""
+
+    def run(batches):
+        import subprocess
+
+        for b in batches:
+            out = []
+            for c in b["content"]:
+                try:
+                    p = subprocess.run(argv, input=(c or "").encode(), capture_output=True, timeout=timeout, check=True)
+                    out.append(p.stdout.decode("utf-8", "replace"))
+                except (subprocess.SubprocessError, OSError):
+                    out.append(None)
+            yield pd.DataFrame({"path": b["path"], "content": out})
+
+    return files.select("path", "content").mapInPandas(run, "path string, content string")
+
+
 # -- recognition
 
-_BY_EXTENSION = {"html": "HTML", "htm": "HTML", "xml": "XML", "sgml": "SGML", "sgm": "SGML", "rdf": "RDF", "csv": "CSV", "tsv": "CSV", "bib": "BIBTEX", "ris": "RIS", "mbox": "MAILFOLDER", "memo": "MEMO", "mrc": "MARC", "rss": "RSS", "atom": "ATOM", "soif": "SOIF"}
+_BY_EXTENSION = {"html": "HTML", "htm": "HTML", "xml": "XML", "sgml": "SGML", "sgm": "SGML", "rdf": "RDF", "csv": "CSV", "tsv": "CSV", "bib": "BIBTEX", "ris": "RIS", "mbox": "MAILFOLDER", "memo": "MEMO", "mrc": "MARC", "rss": "RSS", "atom": "ATOM", "soif": "SOIF", "warc": "WARC"}
 _BY_CONTENT = (
-    ("MAILFOLDER", r"\AFrom \S+ .*\d{4}"), ("MEDLINE", r"\APMID\s*- "), ("RIS", r"\ATY  - "), ("BIBTEX", r"\A\s*@\w+\s*\{\s*[^,\s]+\s*,"), ("SOIF", r"\A\s*@\w+\s*\{"), ("REFERBIB", r"\A%[A-Z0-9] "), ("ATOM", r"(?i)\A\s*(?:<\?xml[^>]*>\s*)?<feed[\s>]"), ("RSS", r"(?i)\A\s*(?:<\?xml[^>]*>\s*)?<rss[\s>]"),
+    ("WARC", r"\AWARC/\d"), ("MAILFOLDER", r"\AFrom \S+ .*\d{4}"), ("MEDLINE", r"\APMID\s*- "), ("RIS", r"\ATY  - "), ("BIBTEX", r"\A\s*@\w+\s*\{\s*[^,\s]+\s*,"), ("SOIF", r"\A\s*@\w+\s*\{"), ("REFERBIB", r"\A%[A-Z0-9] "), ("ATOM", r"(?i)\A\s*(?:<\?xml[^>]*>\s*)?<feed[\s>]"), ("RSS", r"(?i)\A\s*(?:<\?xml[^>]*>\s*)?<rss[\s>]"),
     ("HTML", r"(?i)\A\s*(?:<!doctype html|<html|<head|<body)"), ("XML", r"\A\s*<\?xml"), ("SGML", r"\A\s*<[A-Za-z]"), ("MARC", r"\A\d{5}[a-z]"), ("MIME", r"(?i)\A(?:[\w-]+:[^\n]*\n(?:[ \t][^\n]*\n)*)*(?:message-id|received|mime-version):"), ("MEMO", r"\A(?:[A-Z][\w -]*:[^\n]*\n)+\s*(?:[-=_*]{3,}[ \t]*)?\n\S"), ("COLONDOC", r"\A(?:[A-Za-z][\w -]*:[^\n]*\n?){2,}"),
     ("CSV", r"\A[^\n]*([,;\t|])[^\n]*\1[^\n]*\n[^\n]*\1[^\n]*\1"),
 )
@@ -440,10 +480,8 @@ def parse_files(files: DataFrame, name: str = "AUTODETECT", extra: dict[str, Par
 
 def read_files(spark, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, content) of the text files under a path."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=glob)
+    return files.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
 def to_database(records: DataFrame, types: dict[str, str] | None = None, **more):

@@ -86,7 +86,7 @@ def test_scores(spark):
         got = run(d, "a", normalization=m)
         assert {k: pytest.approx(f(t)) for k, t in tf.items()} == {k: v.score for k, v in got.items()}, m
     assert run(d, "a:2")[3].score == pytest.approx(6 / math.sqrt(14)) and run(d, "a NOT")[4].score == pytest.approx(math.sqrt(1) / 4)
-    assert {r.rec_id: r.scaled for r in S.scaled(Engine(d).run("a")).collect()} == {1: 1, 2: 51, 3: 100}
+    assert {r.rec_id: r.scaled for r in S.scaled(Engine(d).run("a")).collect()} in ({1: 1, 2: k, 3: 100} for k in (50, 51))  # one half, give or take a last bit
 
 
 def test_distance_metric(spark):
@@ -164,7 +164,7 @@ def test_save_load_virtual(spark, tree, tmp_path):
 
 def test_scan_and_facets(spark, tree):
     assert {r.term: r.freq for r in scan.scan(tree, "l").collect()} == {"love": 4, "only": 1, "out": 1, "spot": 1, "x": 1}
-    assert {r.term for r in scan.scan_soundex(tree, "loaf").collect()} == set() and {r.term for r in scan.scan_glob(tree, "?at*").collect()} == {"hate"}
+    assert {r.term for r in scan.scan_soundex(tree, "hat").collect()} == {"hate"} and {r.term for r in scan.scan_glob(tree, "?at*").collect()} == {"hate"}
     assert {r.term: r.freq for r in scan.facets(tree, Engine(tree).run("hate"), "LINE").collect()} == {"love": 1, "hate": 2, "x": 1}
     with pytest.raises(QueryError):
         scan.facets(tree, Engine(tree).run("love"), "LINE", 2)
