@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import lines, minhash, packing, pii, quality
-from spanloom.llm.common import materialise
+from spanloom.llm.common import SMALL, materialise
 from spanloom.llm.queries import vocabulary
 
 #: No SQL form: the classifier's floats, MinHash and the tokenizer have none; tests hold stages against brute force.
@@ -31,10 +31,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
     found = materialise(minhash.link_documents(docs, 5, 80), "pipeline-links")
-    kept = found.where("kept").select("doc_id")
-    out = docs.join(kept.distinct(), docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows are one document
-        out = out.dropDuplicates(["doc_id"])
+    ids = materialise(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "pipeline-ids")
+    gone = ids.where(~F.col("kept")).select("doc_id")
+    # the documents stay where they are as long as the dropped ids are few; else both sides are shuffled
+    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
+    if not ids.where("n > 1 and doc_id is not null").isEmpty():  # repeated rows are one document
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
 
 
