@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of like lines one occurrence stays; every document stays, with what is left of its text."""
-    return _recounted(lines.dedup(docs))
+    return _recounted(lines.dedup(docs, bits=None))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.groups(_table(spark, sf_dir, "documents")).drop("rk")
+    return lines.groups(_table(spark, sf_dir, "documents"), bits=None).drop("rk")
 
 
 def op5_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

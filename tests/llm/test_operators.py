@@ -224,6 +224,32 @@ def test_lines_against_brute_force(spark):
         assert (r.group_doc_id, r.group_line) == want and r.kept == (want == (r.doc_id, r.line))
 
 
+def edited_lines():
+    """Lines with up to a fifth of their words replaced, dropped or added; the last bases have few distinct words."""
+    rows, r = [], random.Random(7)
+    bases = [words(n, 70 + n, 5000).split() for n in (5, 6, 8, 10, 14, 20, 30, 50, 90)]
+    bases += ["buy one get one free".split() * 40, "a b c d e f".split(), "x y x y x y z".split(), "p q r s t u v".split()]
+    for g, base in enumerate(bases):
+        rows.append((100 * g, " ".join(base)))
+        for k in range(1, 7):
+            w = list(base)
+            for _ in range(r.randint(1, max(1, len(base) // 5))):
+                at, kind = r.randrange(len(w)), r.randrange(3)
+                w[at : at + (kind != 1)] = [] if kind == 0 else [r.choice([r.choice(base), f"n{r.randrange(10**6)}"])]
+            rows.append((100 * g + k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_lines_by_edit_similarity_alone(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket)
+    rows = edited_lines()
+    got = {r.doc_id: r.group_doc_id for r in lines.groups(docs(spark, rows), bits=None).collect()}
+    edges = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if levenshtein(x.split(), y.split()) <= 0.2 * max(len(x.split()), len(y.split())) + 1e-9]
+    root = roots([d for d, _ in rows], edges)
+    assert got == root and len(set(root.values())) < len(rows) - 40
+
+
 def test_lines_dedup_keeps_documents(spark):
     rows = line_docs()
     src = docs(spark, rows)
