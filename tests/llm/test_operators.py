@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, common, impact, lines, minhash, multi_index, packing, pii, quality, secrets, sharding
+from spanloom.llm import byte_bpe, common, impact, lines, minhash, multi_index, packing, pii, quality, queries, secrets, sharding
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -250,6 +250,13 @@ def test_lines_by_edit_similarity_alone(spark, monkeypatch, bucket):
     assert got == root and len(set(root.values())) < len(rows) - 40
 
 
+def test_lines_query_asks_for_all_pairs(spark, tmp_path):
+    few = [(1, "now now " * 40), (2, "now now " * 40 + "now"), (3, words(50, 3)), (4, words(50, 3).replace("w", "x", 1)), (5, words(10, 4)), (6, words(10, 4) + " more")]
+    spark.createDataFrame(few, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.group_doc_id for r in queries.op4_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def test_lines_dedup_keeps_documents(spark):
     rows = line_docs()
     src = docs(spark, rows)
