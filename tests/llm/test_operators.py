@@ -132,6 +132,13 @@ def test_trigram_queries():
                 assert any(all(g in s for g in c) for c in q)
 
 
+def test_trigram_query_of_alternatives_that_are_not_exact():
+    for rx, text in (("xy([a-z]+|q)zz", "xyabczz"), ("abc(?:[0-9]+|q)def", "abc12def"), ("(x+|q)abc", "xxabc")):
+        assert re.search(rx, text)
+        q, _ = secrets.trigram_query(rx)
+        assert any(all(g in text for g in c) for c in q), rx
+
+
 def quality_rows(n, seed=3):
     r, rows, labels = random.Random(seed), [], []
     for d in range(n):
