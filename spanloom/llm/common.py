@@ -36,10 +36,12 @@ _OWN_DIR: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
     return _OWN_DIR[0]
@@ -116,48 +118,60 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return out
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "link", star_rounds: int = 3, slack: int = 16, alive: str = "true") -> DataFrame:
-    """Verified links (a < b) that connect everything which shares a bucket and passes verify.
+#: Members from which a bucket's rest is not compared as it is, but split by a second key.
+HOT = 512
 
-    members: (key, id), ids comparable longs, and maybe mark, also a long. alive: SQL condition on a bucket's
-    n and x, the exclusive or of its marks, by which buckets without any link are told early. verify: keeps the pairs (a, b) that are really linked.
+
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "link", star_rounds: int = 3, slack: int = 16, depth: int = 0) -> DataFrame:
+    """Verified links (a < b) that connect what shares a bucket and passes verify.
+
+    members: distinct (key, id), ids comparable longs. verify: keeps the pairs (a, b) that are really linked.
     A bucket never emits all its pairs. Star rounds test each member against one leader of its bucket.
     Then only members outside their bucket's largest component are tested against the rest of the bucket,
     so that every pair between different components is tested: the components are exactly those of all
-    linked pairs. If such rest work would exceed `slack` times the members, another star round goes first.
+    linked pairs. If such rest work would exceed `slack` times the members, another star round goes first,
+    `star_rounds` of them at most. A bucket of more than HOT members that still has such a rest is split: its
+    members meet where they share a second key too (and a third one at depth 2), which similar members do and
+    members that only share one common key don't; so the pairs grow with the members, not with their square.
     """
-    marks = [F.bit_xor("mark").alias("x")] if "mark" in members.columns else []
-    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1").where(alive).select("key", "n"), f"{name}-buckets")
-    members = members.select("key", "id")
-    if counts.count() <= SMALL:
-        live = members.join(F.broadcast(counts), "key")
-    else:
-        live = members.join(counts, "key")
-    live = materialise(live, f"{name}-members")
-    links, tested, comp = None, None, None
+    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-buckets")
+    live = materialise(members.select("key", "id").join(F.broadcast(counts) if counts.count() <= SMALL else counts, "key"), f"{name}-members")
     total = live.count()
-    for r in range(star_rounds + 1):
+    links, tested, comp = None, None, None
+    r = 0
+    while True:
         if comp is None:
             marked = live.withColumn("c", F.col("id"))
         else:
-            marked = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
             # the only pair of a bucket of two is tested by now
-            span = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            marked = materialise(marked.join(span, "key"), f"{name}-marked")
+            placed = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+            span = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+            marked = materialise(placed.join(span, "key"), f"{name}-marked")
             sizes = marked.groupBy("key", "c").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("m")).select("key", "n", F.col("m.c").alias("main"), (F.col("n") - F.col("m.n")).alias("rest"))
-            work = main.agg(F.sum(F.col("n") * F.col("rest")).alias("w"), F.count("*").alias("k")).first()
+            main = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", "n").alias("main"))
+            main = materialise(main.select("key", "n", "main", (F.col("n") - F.col("most")).alias("rest")), f"{name}-main")
+            work = main.agg(F.sum(F.col("n") * F.col("rest")).alias("w"), F.count("*").alias("k"), F.max(F.when(F.col("rest") > slack, F.col("n"))).alias("hot")).first()
             if not work["k"]:
-                discard(marked)
                 break
-            if work["w"] <= slack * max(total, 1) or r == star_rounds:
-                outside = marked.join(main.select("key", "main"), "key").where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+            small = work["w"] <= slack * max(total, 1)
+            # with three keys in common, stars go on as long as they link anything
+            if small or r >= star_rounds and (depth < 2 or found.isEmpty()):
+                hot = (F.col("n") > HOT) & (F.col("rest") > slack)
+                split = not small and depth < 2 and (work["hot"] or 0) > HOT
+                here = main.where(~hot) if split else main
+                outside = marked.join(here.select("key", "main"), "key").where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
                 todo = outside.join(marked, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-                if tested is not None:
-                    todo = todo.join(tested, ["a", "b"], "left_anti")
-                links = links.unionByName(materialise(verify(todo), f"{name}-links"))
+                links = links.unionByName(materialise(verify(todo.join(tested, ["a", "b"], "left_anti")), f"{name}-links"))
+                if split:
+                    first = marked.join(main.where(hot).select("key"), "key").select("id", F.col("key").alias("k1"))
+                    both = first.join(live.select("id", F.col("key").alias("k2")), "id").where("k1 <> k2")
+                    both = both.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id").distinct()
+                    links = links.unionByName(link_in_buckets(both, verify, name, star_rounds, slack, depth + 1))
                 break
-        lead = marked.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)) if r else F.col("id").alias("h"), F.col("id"), F.col("c"))).alias("m")).select("key", F.col("m.id").alias("lead"), F.col("m.c").alias("lc"))
+        if comp is None:
+            lead = marked.groupBy("key").agg(F.min("id").alias("lead")).withColumn("lc", F.col("lead"))
+        else:
+            lead = marked.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("lead"), F.min_by("c", F.xxhash64("id", F.lit(r))).alias("lc"))
         todo = marked.join(lead, "key").where("id <> lead and c <> lc").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
@@ -165,5 +179,9 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         found = materialise(verify(todo), f"{name}-links")
         tested = todo if tested is None else tested.unionByName(todo)
         links = found if links is None else links.unionByName(found)
+        if comp is not None:
+            discard(comp)
         comp = materialise(components(links, f"{name}-cc"), f"{name}-comp")
+        r += 1
+    discard(live, counts)
     return links

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import byte_bpe, common, impact, lines, minhash, multi_index, packing, pii, quality, queries, secrets, sharding
+from tests.conftest import SF
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string"
@@ -207,28 +208,59 @@ def line_docs():
     return [*rows, (100, None), (101, ""), (102, "hello world 1\n\n  ###\nHELLO -- world 1"), (5, rows[5][1]), (103, "y" * 5000 + "\n" + "z " * 9000)]
 
 
-def test_lines_against_brute_force(spark):
-    rows = line_docs()
-    got = lines.groups(docs(spark, rows)).collect()
-    norm = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
-    occ = sorted({(d, k, norm(x)) for d, t in rows if t is not None for k, x in enumerate(t.split("\n"))})
-    assert sorted({(r.doc_id, r.line) for r in got}) == [(d, k) for d, k, _ in occ]
-    hashes = {r.line_text: r.sim for r in spark.createDataFrame([(1, x) for *_, x in occ], DOCS).select("text").distinct().withColumn("doc_id", F.lit(1).cast("long")).transform(lambda t: lines.simhashes(t).join(t.withColumn("rk", lines.row_key()), "rk").select(F.col("text").alias("line_text"), "sim")).collect()}
+def norm(x):
+    return re.findall(r"[^\W_]+", x.lower())
+
+
+def similar_pairs(texts):
+    """All pairs of word tuples with an edit similarity of 0.8 or more; only pairs that lack too many of each other's words are passed over."""
+    n = np.array([len(x) for x in texts])
+    sets = [sorted(set(x)) for x in texts]
+    size = np.array([len(x) for x in sets])
+    most = lambda a, b: np.floor(0.2 * np.maximum(a, b) + 1e-9)
+    at = {}
+    for i, x in enumerate(sets):
+        for w in x:
+            at.setdefault(w, []).append(i)
+    at = {w: np.array(v) for w, v in at.items()}
+    out = []
+    for i, x in enumerate(sets):
+        shared = np.bincount(np.concatenate([at[w] for w in x]), minlength=len(texts)) if x else np.zeros(len(texts), int)
+        d = most(n[i], n)
+        for j in np.flatnonzero((np.abs(n - n[i]) <= d) & (size[i] - shared <= d) & (size - shared <= d)):
+            if j < i and levenshtein(texts[i], texts[j]) <= d[j]:
+                out.append((int(i), int(j)))
+    return out
+
+
+def want_groups(occ):
+    """(doc, line) -> the first of its group; occ: sorted (doc, line, words)."""
     texts = sorted({x for *_, x in occ if x})
-    edges = [
-        (a, b) for i, a in enumerate(texts) for b in texts[:i]
-        if hashes[a] is not None and hashes[b] is not None and bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a.split(), b.split()) <= 0.2 * max(len(a.split()), len(b.split()))
-    ]
+    edges = similar_pairs(texts)
     assert edges
-    root = roots(texts, edges)
+    root = roots(texts, [(texts[a], texts[b]) for a, b in edges])
     first = {}
     for d, k, x in occ:
         if x:
             first.setdefault(root[x], (d, k))
+    return {(d, k): first[root[x]] if x else (d, k) for d, k, x in occ}
+
+
+def test_lines_against_brute_force(spark):
+    rows = line_docs()
+    got = lines.groups(docs(spark, rows)).collect()
+    occ = sorted({(d, k, tuple(norm(x))) for d, t in rows if t is not None for k, x in enumerate(t.split("\n"))})
+    assert sorted({(r.doc_id, r.line) for r in got}) == [(d, k) for d, k, _ in occ]
+    want = want_groups(occ)
     for r in got:
-        x = next(x for d, k, x in occ if (d, k) == (r.doc_id, r.line))
-        want = first[root[x]] if x else (r.doc_id, r.line)
-        assert (r.group_doc_id, r.group_line) == want and r.kept == (want == (r.doc_id, r.line))
+        assert (r.group_doc_id, r.group_line) == want[r.doc_id, r.line] and r.kept == ((r.group_doc_id, r.group_line) == (r.doc_id, r.line))
+
+
+def test_lines_of_the_table_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    occ = sorted((d, k, tuple(norm(x))) for d, t in rows if t is not None for k, x in enumerate(t.split("\n")))
+    got = {(r.doc_id, r.line): (r.group_doc_id, r.group_line) for r in queries.op4_fuzzy_lines(spark, SF).collect()}
+    assert got == want_groups(occ)
 
 
 def edited_lines():
@@ -247,11 +279,9 @@ def edited_lines():
     return rows
 
 
-@pytest.mark.parametrize("bucket", [2048, 2])
-def test_lines_by_edit_similarity_alone(spark, monkeypatch, bucket):
-    monkeypatch.setattr(lines, "BUCKET", bucket)
+def test_lines_by_edit_similarity_alone(spark):
     rows = edited_lines()
-    got = {r.doc_id: r.group_doc_id for r in lines.groups(docs(spark, rows), bits=None).collect()}
+    got = {r.doc_id: r.group_doc_id for r in lines.groups(docs(spark, rows)).collect()}
     edges = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if levenshtein(x.split(), y.split()) <= 0.2 * max(len(x.split()), len(y.split())) + 1e-9]
     root = roots([d for d, _ in rows], edges)
     assert got == root and len(set(root.values())) < len(rows) - 40
@@ -275,14 +305,23 @@ def test_lines_dedup_keeps_documents(spark):
     assert lines.dedup(docs(spark, [])).count() == 0
 
 
-def test_line_bits_of_endless_lines(spark, monkeypatch):
-    t = docs(spark, [(1, words(300, 1)), (2, words(301, 2)), (3, "a b c d e f g h")])
-    short = lines.simhashes(docs(spark, [(4, "a b c d e f g"), (5, "a a a a a a a a a")]))
-    assert short.where("sim is not null").isEmpty()  # under eight distinct words: exact matches only
-    packed = {r.doc_id: r.sim for r in lines.simhashes(t).collect()}
-    monkeypatch.setattr(lines, "PACKED", 3)
-    wide = {r.doc_id: r.sim for r in lines.simhashes(t).collect()}
-    assert packed == wide and None not in packed.values()
+@pytest.mark.parametrize("n", [6, 9, 14, 20, 33, 60, 120])
+def test_lines_recall_of_one_in_five_words_edited(spark, n):
+    """Pairs alone: every fifth word of a line edited, the most that may differ."""
+    r, pairs = random.Random(n), []
+    for g in range(150):
+        a = [f"{'abcdefgh'[r.randrange(8)] * r.randrange(1, 9)}{r.randrange(3000)}" for _ in range(n)]
+        b = list(a)
+        for at in r.sample(range(n), n // 5):
+            b[at] = f"n{r.randrange(10**6)}"
+        pairs += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    got = lines.groups(docs(spark, pairs)).where("doc_id % 2 = 1 and group_doc_id = doc_id - 1").count()
+    assert got == 150 if n < 20 else got >= 147
+
+
+def test_block_keys_cover_short_lines():
+    assert lines.short_lengths(0.8, 2) == [4, 5] and lines.short_lengths(0.8, 1) == []
+    assert all(lines.run(n, 0.8) >= 3 for n in range(6, 400)) and min(lines.run(n, 0.8) for n in range(16, 400)) == 4
 
 
 def test_sharding(spark):
@@ -455,3 +494,18 @@ def test_components_and_buckets(spark):
     links = common.link_in_buckets(members, lambda p: p.where("b - a <= 2 and b <> 31 and a <> 31 and not (a < 31 and b > 31)"), slack=1)
     comp = {x.node: x.root for x in common.components(links).collect()}
     assert {comp[i] for i in range(31)} == {0} and {comp[i] for i in range(32, 60)} == {32} and comp[501] == 500 and 31 not in comp
+
+
+def test_a_hot_bucket_of_unlinked_members_is_split(spark):
+    """100,000 members share one key and nothing else; ten of them are alike in a second one, too."""
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return pairs.where("a >= 99990")
+
+    members = spark.range(100_000).selectExpr("7L as key", "id").unionByName(spark.range(99_990, 100_000).selectExpr("8L as key", "id"))
+    links = common.link_in_buckets(members, verify)
+    comp = {r.node: r.root for r in common.components(links).collect()}
+    assert {comp[i] for i in range(99_990, 100_000)} == {99_990} and len(comp) == 10
+    assert sum(seen) < 6 * 100_000
