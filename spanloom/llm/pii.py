@@ -1,25 +1,27 @@
 """Personal data by weak supervision, by DataFrame functions only.
 
 Base spans are what four patterns with their checks find; they always stay. The method adds spans: loose
-candidate patterns, one for each further kind, are voted on by LABELERS (a strict shape, a gazetteer, the
-words before it, counter-indicating words before it, the characters around it), each for, against or
-abstaining. Expectation-maximisation over the vote patterns of the whole corpus estimates every labeler's
+candidate patterns, one for each further kind, are voted on by LABELERS (a strict shape or check sum, gazetteers, the
+words before it, counter-indicating words before it, the characters around it, base spans elsewhere in the text), each
+for, against or abstaining. Base spans are voted on, too, so that what the labelers say of them teaches their reliability.
+Expectation-maximisation over the vote patterns of the whole corpus estimates every labeler's
 reliability and each pattern's probability; with these as soft labels a naive Bayes span classifier is
-trained over the candidate's kind, votes, length and surroundings, and accepts a candidate from 0.5 on.
+trained over the candidate's kind, votes, length and surroundings, and accepts a candidate from 0.5 on. Numbers that
+base refuses (cards that fail their check sum, two cards in a row, dotted numbers that are no address) are candidates.
 
 The corpus meets the model only through counts of (kind, votes, features), whose number is bounded by
 their alphabet, so EM is one expression over one row. Offsets are code points, ends exclusive. Null and
-empty texts have no spans; without candidates nothing is added. Repeated rows each give a row. `redact`
-passes other columns through, whatever their names.
+empty texts have no spans, empty tables no rows; without candidates nothing is added. Texts may be of any length: work
+grows with a text and its spans. Spans that start alike go by kind as listed; redaction names overlapping
+spans after the first. Repeated rows each give a row. `redact` passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import gazetteers as g
 from .common import materialise
 
 #: Base kinds as listed: pattern, cheap test that any match passes, check. Possessive quantifiers and looks
@@ -38,82 +40,170 @@ def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-#: Candidate kinds of the method: loose pattern, cheap test, strict shape, words that speak for it when before it.
-_NAMES = "James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Anna|Maria|Hans|Peter|Klaus|Pierre|Marie|Jean|Carlos|Luis|Carmen|José|Sofia|Paul|Laura"
+#: Candidate kinds of the method: loose pattern, cheap test, strict shape, gazetteer, words that speak for it when before it.
+_CAP = r"[A-Z\u00C0-\u00DE]\p{Ll}{1,20}"
+_TITLE = r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20"
+_CARD = r"card|account|acct|iban|konto|karte|compte|carte|cuenta|tarjeta|visa|payment"
+_PHONE = r"tel|phone|call|mobile|cell|fax|dial|reach|handy|anruf"
+
+
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+def _test(pattern: str):
+    return lambda t: F.rlike(t, F.lit(pattern))
+
+
 ADDED = {
-    "email_spelt": (r"(?i)\b[a-z0-9][a-z0-9._%+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[a-z0-9-]{2,63}){1,4}", lambda t: F.rlike(t, F.lit(r"(?i)[\[(]\s?at\s?[\])]")), r"(?i)^\S+\s?[\[(]at[\])]\s?\S+(?:\.|[\[(]dot[\])])\s?[a-z]{2,}$", r"e-?mail|mail|contact|write|reach"),
-    "phone_local": (r"(?<![0-9+(])(?<!\+[0-9]{1,3} )\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", lambda t: F.rlike(t, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")), r"^(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}$", r"tel|phone|call|mobile|cell|fax|dial|reach"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: F.rlike(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"ssn|social|security|tax"),
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b", lambda t: F.rlike(t, F.lit(r"\b[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")), r"^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?$", r"iban|account|bank|konto|compte|cuenta"),
-    "person": (rf"\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20)?(?:{_NAMES})\x20[A-Z]\p{{Ll}}{{1,20}}\b", lambda t: F.rlike(t, F.lit(rf"\b(?:{_NAMES})\x20[A-Z]")), r"^(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.?\x20", r"name|signed|dear|contact|author|sincerely|regards|by"),
+    "email_spelt": (r"(?i)\b[a-z0-9][a-z0-9._%+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[a-z0-9-]{2,63}){1,4}", _test(r"(?i)[\[(]\s?at\s?[\])]"), r"(?i)^\S+\s?[\[(]\s?at\s?[\])]\s?\S+\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[a-z]{2,}$", rf"(?i)\b{_any(g.DOMAINS)}$", r"e-?mail|mail|contact|write|reach"),
+    "phone_local": (r"(?<![0-9+(])(?<!\+[0-9]{1,3} )\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", _test(r"[0-9]{3}[\x20.-][0-9]{4}"), r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}-)[2-9][0-9]{2}-[0-9]{4}$", rf"^\(?{_any(g.AREAS)}", _PHONE),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _test(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "^$", r"ssn|social|security|tax"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b", _test(r"\b[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), r"^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?$", rf"^{_any(g.IBAN)}[0-9]", _CARD + "|bank"),
+    "person": (rf"(?:\b{_TITLE}|(?<=\b(?:[Nn]ame|[Dd]ear|[Cc]ontact|[Aa]uthor|[Ss]igned|[Ss]incerely|[Rr]egards|[Cc]all|[Bb]y)[:,]?[\x20\n])){_CAP}(?:\x20{_CAP})?\b", _test(rf"\b{_TITLE}{_CAP}|\b(?:[Nn]ame|[Dd]ear|[Cc]ontact|[Aa]uthor|[Ss]igned|[Ss]incerely|[Rr]egards|[Cc]all|[Bb]y)[:,]?[\x20\n]{_CAP}"), rf"^{_TITLE}|\x20", rf"\b{_any(g.GIVEN)}\b|\b{_any(g.SURNAMES)}$", r"name|signed|dear|contact|author|sincerely|regards|call"),
+    "account": (r"(?<![0-9.,/])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", _test(r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}"), None, rf"^{_any(g.ISSUERS)}", _CARD),
+    "phone_bare": (r"(?<![0-9.,+/#-])[0-9]{9,11}(?![0-9.,/-])", _test(r"[0-9]{9}"), r"^(?:0|1?[2-9])[0-9]{8,9}$", rf"^0|^1?{_any(g.AREAS)}", _PHONE),
+    "dotted": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){1,5}(?!\.?[0-9])", _test(r"[0-9]\.[0-9]"), r"^[0-9]+(?:\.[0-9]+){3}$", "^$", r"ip|host|server|address|adresse"),
+}
+#: The same for base spans, which stay whatever the votes are.
+_BASE_VOTES = {
+    "email": (r"\.[A-Za-z]{2,}$", rf"(?i)\.{_any(g.DOMAINS)}$", r"e-?mail|mail|contact|write|reach"),
+    "ip": (r".", r"^(?:10|127|192\.168)\.", r"ip|host|server|address|adresse"),
+    "card": (r".", rf"^{_any(g.ISSUERS)}", _CARD),
+    "phone": (r".", rf"^\+{_any(g.CALLING)}", _PHONE),
 }
-_GAZETTEER = rf"(?i)\b(?:gmail|yahoo|outlook|hotmail|proton|com|org|net|edu|DE|FR|ES|GB|IT|NL|800|212|{_NAMES})\b"
-_AGAINST = r"(?i)(?:version|v\.|order|invoice|isbn|issn|page|fig|section|chapter|serial|model|item|sku|build)\W{0,3}$"
-LABELERS = 5
+ALL = (*KINDS, *ADDED)
+_AGAINST = r"(?i)(?:version|v\.|license|licence|order|invoice|isbn|issn|page|fig|section|chapter|serial|model|item|sku|build|release|id)\W{0,3}$"
+LABELERS = 6
 FEATURES = 3
 ROUNDS = 25
 BEFORE = 32
+BLOCK = 64
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def before(values: Column, kind: str, zero: Column, op) -> Column:
+    """For every value the running op of those before it. Blocks keep appended arrays short, so work is nearly linear."""
+
+    def scan(block: Column, first: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{kind}>").alias("at"), first.alias("p"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(F.concat(acc["at"], F.array(acc["p"])).alias("at"), op(acc["p"], x).alias("p")), lambda acc: acc["at"])
+
+    def all_of(v: Column) -> Column:
+        nth = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        return let(F.transform(nth, lambda c: F.slice(v, c * BLOCK + 1, F.lit(BLOCK))), lambda blocks: F.flatten(
+            F.zip_with(scan(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero), blocks, lambda p, b: scan(b, p))
+        ))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, all_of(v)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def spans(text: Column, pattern: str, cheap, check) -> Column:
     """Array of (start, end, value) of a pattern's matches: the pieces between matches give the offsets."""
-    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(m: Column) -> Column:
         pieces = F.split(text, pattern, -1)
         sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), m, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len"), b.alias("value")))
-        zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("pos"))
-        at = F.aggregate(sizes, zero, lambda acc, x: F.struct(F.concat(acc["at"], F.array(acc["pos"] + x["gap"])).alias("at"), (acc["pos"] + x["gap"] + x["len"]).alias("pos")), lambda acc: acc["at"])
-        return F.zip_with(at, sizes, lambda s, x: F.struct(s.alias("start"), (s + x["len"]).alias("end"), x["value"].alias("value")))
+        at = lambda z: before(F.transform(z, lambda x: x["gap"] + x["len"]), "int", F.lit(0), lambda p, x: p + x)
+        return let(sizes, lambda z: F.zip_with(at(z), z, lambda s, x: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"))))
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.when(cheap(text), F.when(F.size(m) > 0, place(m)).otherwise(none)).otherwise(none)
+    found = F.when(cheap(text), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))).otherwise(none)
     return F.filter(found, lambda s: check(s["value"])) if check else found
 
 
+def windows(text: Column) -> Column:
+    """A text as pieces of WINDOW code points, by which a part is cut out without counting from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+
+
+WINDOW = 256
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points start to end (exclusive) of the text whose windows these are."""
+    first = F.floor(F.greatest(start, F.lit(0)) / WINDOW).cast("int")
+    last = F.floor((end - 1) / WINDOW).cast("int")
+
+    def part(k: Column) -> Column:
+        a = F.greatest(start - k * WINDOW, F.lit(0))
+        return F.substring(F.coalesce(F.get(pieces, k), F.lit("")), a + 1, F.least(end - k * WINDOW, F.lit(WINDOW)) - a)
+
+    return F.when(end > start, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), part), "")).otherwise(F.lit(""))
+
+
 def _of_kind(n: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"))
 
 
-def _base(text: Column) -> Column:
-    none = F.array().cast(f"array<{SPAN}>")
-    parts = [F.transform(spans(text, *BASE[k]), _of_kind(n)) for n, k in enumerate(KINDS)]
-    return F.array_sort(F.concat(none, *parts))
+def _valued(text: Column) -> Column:
+    """Base spans with their values, by start, then kind."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+
+    def of(n: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
 
+    return F.array_sort(F.concat(none, *[F.transform(spans(text, *BASE[k]), of(n)) for n, k in enumerate(KINDS)]))
 
-def _votes(text: Column, s: Column, strict: str, words: str) -> list[Column]:
+
+def _luhn(v: Column) -> Column:
+    return F.call_function("luhn_check", _digits(v))
+
+
+def _votes(pieces: Column, s: Column, others: Column, shape: Column, gazetteer: str, words: str) -> list[Column]:
     """Votes of the labelers, 0 against, 1 abstains, 2 for; then the features, each a digit."""
-    left = F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
-    prev = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise(F.lit(" "))
-    nxt = F.coalesce(F.nullif(F.substring(text, s["end"] + 1, F.lit(1)), F.lit("")), F.lit(" "))
+    left = cut(pieces, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+    prev = F.coalesce(F.nullif(F.right(left, F.lit(1)), F.lit("")), F.lit(" "))
+    nxt = F.coalesce(F.nullif(cut(pieces, s["end"], s["end"] + 1), F.lit("")), F.lit(" "))
     has = lambda c, rx: F.rlike(c, F.lit(rx))
     glued = has(prev, r"[\p{L}\p{N}_]") | has(nxt, r"[\p{L}\p{N}_]")
     length = s["end"] - s["start"]
     return [
-        F.when(has(s["value"], strict), 2).otherwise(0),
-        F.when(has(s["value"], _GAZETTEER), 2).otherwise(1),
+        shape,
+        F.when(has(s["value"], gazetteer), 2).otherwise(1),
         F.when(has(left, rf"(?i)\b(?:{words})"), 2).otherwise(1),
         F.when(has(left, _AGAINST), 0).otherwise(1),
-        F.when(glued, 0).otherwise(1),
+        F.when(glued, 0).when(has(prev, r"[\s(:\"']") & has(nxt, r"[\s.,;)!?\"']"), 2).otherwise(1),
+        F.when(others, 2).otherwise(1),
         F.when(length < 12, 0).when(length < 16, 1).when(length < 24, 2).otherwise(3),
         F.when(has(prev, r"[:=]"), 2).when(has(left, r"[:=]\s*$"), 3).when(has(prev, r"\s"), 1).otherwise(0),
         F.when(has(nxt, r"[.,;)\s]"), 1).otherwise(0),
     ]
 
 
-def _candidates(text: Column) -> Column:
-    out = F.array().cast("array<struct<start:int,kind:int,end:int,key:string>>")
+def _candidates(text: Column, pieces: Column, base: Column) -> Column:
+    """Array of (start, kind, end, key): what is voted on, base spans among it."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,key:string>>")
+
+    def voted(kind: int, s: Column, others: Column, shape: Column, gazetteer: str, words: str) -> Column:
+        key = F.concat(F.lit(chr(97 + kind)), *[v.cast("string") for v in _votes(pieces, s, others, shape, gazetteer, words)])
+        return F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), key.alias("key"))
 
+    def added(kind: int, strict: str | None, gazetteer: str, words: str):
+        def one(s: Column) -> Column:
+            # a card number: its check sum speaks for it, another length than sixteen against it
+            shape = F.when(F.rlike(s["value"], F.lit(strict)), 2).otherwise(0) if strict else F.when(_luhn(s["value"]), 2).when(F.length(_digits(s["value"])) == 16, 1).otherwise(0)
+            return voted(kind, s, F.size(base) > 0, shape, gazetteer, words)
 
-    def voted(kind: int, strict: str, words: str):
-        return lambda s: F.struct(
-            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.concat(F.lit(str(kind)), *[v.cast("string") for v in _votes(text, s, strict, words)]).alias("key")
-        )
+        return one
 
-    parts = [F.transform(spans(text, pattern, cheap, None), voted(n + len(KINDS), strict, words)) for n, (pattern, cheap, strict, words) in enumerate(ADDED.values())]
-    return F.concat(out, *parts)
+    def own(kind: int, strict: str, gazetteer: str, words: str):
+        return lambda s: voted(kind, s, F.size(base) > 1, F.when(F.rlike(s["value"], F.lit(strict)), 2).otherwise(0), gazetteer, words)
+
+    place = lambda s: F.shiftleft(s["start"].cast("long"), 32) + s["end"]
+    parts = [F.transform(F.filter(base, lambda s, n=n: s["kind"] == n), own(n, *_BASE_VOTES[k])) for n, k in enumerate(KINDS)]
+    for n, (pattern, cheap, strict, gazetteer, words) in enumerate(ADDED.values()):
+        f = added(n + len(KINDS), strict, gazetteer, words)
+        # what is a base span already isn't added once more
+        new = lambda c: let(F.array_intersect(F.transform(c, place), F.transform(base, place)), lambda had: F.filter(c, lambda s: ~F.array_contains(had, place(s))))
+        parts.append(F.transform(let(spans(text, pattern, cheap, None), lambda c: F.when((F.size(c) > 0) & (F.size(base) > 0), new(c)).otherwise(c)), f))
+    return F.concat(none, *parts)
 
 
 def _em(patterns: Column) -> Column:
@@ -179,16 +269,25 @@ def _accepted(found: DataFrame) -> DataFrame:
 
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, _pii_base and _pii_all (array of (start, kind, end)) of every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = materialise(docs.select(*keep, _base(text).alias("_pii_base"), _candidates(text).alias("_pii_cand")), "pii-found")
+    src = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_pii_text"))
+    src = src.withColumn("_pii_found", _valued(F.col("_pii_text")))
+    # pieces are cut only of texts that hold anything to vote on
+    maybe = F.size("_pii_found") > 0
+    for _, cheap, *_ in ADDED.values():
+        maybe = maybe | cheap(F.col("_pii_text"))
+    src = src.withColumn("_pii_pieces", F.when(maybe, windows(F.col("_pii_text"))))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,key:string>>")
+    cand = F.when(F.col("_pii_pieces").isNotNull(), _candidates(F.col("_pii_text"), F.col("_pii_pieces"), F.col("_pii_found"))).otherwise(none)
+    base = F.transform("_pii_found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    found = materialise(src.select(*keep, base.alias("_pii_base"), cand.alias("_pii_cand")), "pii-found")
     found = found.withColumn("_pii_ok", _accepted(found).select("keys").scalar())
-    added = F.transform(F.filter("_pii_cand", lambda c: F.array_contains("_pii_ok", c["key"])), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    added = F.transform(F.filter("_pii_cand", lambda c: (c["kind"] >= len(KINDS)) & F.array_contains("_pii_ok", c["key"])), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     every = F.array_sort(F.concat("_pii_base", added))
     return found.select(*keep, "_pii_base", F.when(F.size("_pii_cand") > 0, every).otherwise(F.col("_pii_base")).alias("_pii_all"))
 
 
 def _names() -> Column:
-    return F.array(*[F.lit(k) for k in (*KINDS, *ADDED)])
+    return F.array(*[F.lit(k) for k in ALL])
 
 
 def _joined(c: str) -> Column:
@@ -200,31 +299,26 @@ def _is_kind(n: int):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added (spans beyond the base ones)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = detect(src, ["doc_id"])
     counts = [F.size(F.filter("_pii_base", _is_kind(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_joined("_pii_base"), 256).alias("base_sha256"), _joined("_pii_all").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_joined("_pii_base"), 256).alias("base_sha256"), _joined("_pii_all").alias("spans"), (F.size("_pii_all") - F.size("_pii_base")).cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, every span of text replaced by its kind in angle brackets."""
     names = [f"`{c}`" for c in docs.columns]
     out = detect(docs, names)
-    # spans that overlap are one, named after the first
-    zero = F.array().cast(f"array<{SPAN}>")
-
-    def add(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
-
-    merged = F.aggregate("_pii_all", zero, add)
-    out = out.withColumn("_pii_all", F.when(F.size("_pii_all") > 0, merged).otherwise(zero))
-    parts = F.transform("_pii_all", lambda s, i: F.concat(
-        F.substring("text", F.when(i > 0, F.get("_pii_all", i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get("_pii_all", i - 1)["end"]).otherwise(0)),
-        F.lit("<"), F.upper(F.element_at(_names(), s["kind"] + 1)), F.lit(">"),
-    ))
-    tail = F.substring("text", F.get("_pii_all", F.size("_pii_all") - 1)["end"] + 1, F.length("text"))
-    text = F.when(F.size("_pii_all") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
+    # a span that starts before the farthest end so far overlaps an earlier one and belongs to it
+    ends = before(F.transform("_pii_all", lambda s: s["end"]), "int", F.lit(0), lambda p, x: F.greatest(p, x))
+
+    def masked(pieces: Column) -> Column:
+        def one(s: Column, end: Column) -> Column:
+            return F.when(s["start"] >= end, F.concat(cut(pieces, end, s["start"]), F.lit("<"), F.upper(F.element_at(_names(), s["kind"] + 1)), F.lit(">"))).otherwise(F.lit(""))
+
+        tail = cut(pieces, F.array_max(F.transform("_pii_all", lambda s: s["end"])), F.length("text"))
+        return F.concat(F.array_join(F.zip_with(F.col("_pii_all"), ends, one), ""), tail)
+
+    text = F.when(F.size("_pii_all") > 0, let(windows(F.col("text")), masked)).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*names)
