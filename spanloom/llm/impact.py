@@ -7,12 +7,14 @@ more than the impacts still open plus the norm of the query times that of its ro
 (Cauchy-Schwarz). Processing stops only when those bounds prove that few candidates can be members of the
 top k, or when nothing is open; all possible members are then rescored exactly, in integers.
 
-Queries are met with all rows in blocks: both sides are cut into blocks of bounded size, and each block of
-candidates is indexed once for every block of queries. Blocks return k rows a query.
+Queries are met with all rows in blocks: every row lies in one block of bounded size, which is indexed once, and
+every query is sent to every block and streams by its index. Blocks return k rows a query.
 
 Vectors that are null, empty or hold null or non-finite components take no part; of two lengths the shorter
-counts as padded by zeros. Rows with the query's own id are not its candidates. Repeated rows are all
-candidates, and repeated queries are all answered. Extra columns are not read.
+counts as padded by zeros. A query's own row is not its candidate; other rows of the same id are. Repeated rows are all
+candidates, and repeated queries are all answered; ties go to the smaller id. Empty tables give no rows. Vectors with a
+component beyond LARGE are scored in whole numbers of any size; a score that no long holds is given as the nearest long.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from .common import materialise, ship
 from .vectors import matrix, usable
 
 LEVEL = 16
-CANDIDATES = 16_384
-QUERIES = 1_024
+CANDIDATES = 8_192
 FEW = 48
+#: Up to this size of its components the inner product of two vectors of up to 2,048 components fits a long, and a double.
+LARGE = 1 << 20
 
 
 class ImpactIndex:
@@ -52,9 +55,9 @@ class ImpactIndex:
                     self.segments.append(order[s:e])
         self.dims, self.values = np.array(dims, np.int64), np.array(values, np.float64)
 
-    def top(self, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best, by score, then id."""
-        allowed = ids != own
+    def top(self, q: np.ndarray, k: int, ids: np.ndarray, rows: np.ndarray, own: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows but `own`, by score, then id."""
+        allowed = rows != own
         if not allowed.any():
             return []
         impact = q[self.dims] * self.values if len(self.dims) else np.zeros(0)
@@ -76,7 +79,7 @@ class ImpactIndex:
             room = left.sum() + err
             low = acc - room
             floor = np.partition(low, len(low) - k)[len(low) - k]
-            possible = np.flatnonzero(acc + room >= floor - 1e-6)
+            possible = np.flatnonzero(acc + room >= floor - 1e-6 - 1e-12 * room.max())
             if len(possible) <= FEW:
                 break
         possible = possible[allowed[possible]]
@@ -85,8 +88,32 @@ class ImpactIndex:
         return [(int(ids[possible[b]]), int(exact[b])) for b in best]
 
 
+class Block:
+    """Candidates of one block: an index of the ordinary ones, and the few with large components."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        big = np.abs(x).max(axis=1, initial=0) > LARGE
+        self.all = rows, ids, x
+        self.rows, self.ids, self.index = rows[~big], ids[~big], ImpactIndex(x[~big].astype(np.int64))
+        self.big = rows[big], ids[big], x[big]
+
+    def top(self, q: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
+        if np.abs(q).max(initial=0) > LARGE:
+            return _exact(q, k, own, *self.all)
+        best = self.index.top(q, k, self.ids, self.rows, own)
+        return best if not len(self.big[0]) else sorted(best + _exact(q, k, own, *self.big), key=lambda b: (-b[1], b[0]))[:k]
+
+
+def _exact(q: np.ndarray, k: int, own: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, int]]:
+    whole = [int(v) for v in q]
+    scored = [(int(i), sum(a * int(b) for a, b in zip(whole, y))) for r, i, y in zip(rows, ids, x) if r != own]
+    return sorted(scored, key=lambda b: (-b[1], b[0]))[:k]
+
+
 def quantise(x: np.ndarray) -> np.ndarray:
-    return np.floor(256 * x).astype(np.int64)
+    """floor(256 x), as doubles; a component that overflows even those counts as the largest one."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(256 * x), -np.finfo(float).max, np.finfo(float).max)
 
 
 def search(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -96,24 +123,32 @@ def search(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     base = base.where(usable("v") & F.col("vec_id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     base = materialise(base, "impact-rows")
-    size = base.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.size("v")).alias("w")).first()
-    n, nq, width = size["n"], size["q"], size["w"] or 1
-    cbs, qbs = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
+    size = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
+    width = size["w"] or 1
+    blocks = max(1, -(-size["n"] // CANDIDATES))
     # a block's rows: the hash of the row number, not of the vector, so that copies spread
-    block = lambda b: F.pmod(F.xxhash64("row"), F.lit(b)).cast("int")
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    cand = base.select(block(cbs).alias("cb"), every(qbs).alias("qb"), F.lit(0).alias("role"), "row", "vec_id", "v")
-    quer = base.where(is_query).select(every(cbs).alias("cb"), block(qbs).alias("qb"), F.lit(1).alias("role"), "row", "vec_id", "v")
-
-    def meet(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        c, q = b[b["role"] == 0], b[b["role"] == 1]
-        out = []
-        if len(c) and len(q):
-            index, ids = ImpactIndex(quantise(matrix(c["v"].tolist(), width))), c["vec_id"].to_numpy()
-            for row, own, x in zip(q["row"], q["vec_id"], quantise(matrix(q["v"].tolist(), width))):
-                out += [(row, own, i, s) for i, s in index.top(x.astype(np.float64), k, ids, own)]
-        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])
-
-    got = cand.unionByName(quer).groupBy("cb", "qb").applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    cand = base.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "row", "vec_id", "v")
+    quer = base.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "row", "vec_id", "v")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, here = None, [], None
+        for b in batches:
+            # a block's candidates come first, then its queries
+            for (block, role), x in b.groupby(["block", "role"]):
+                if block != at:
+                    at, parts, here = block, [], None
+                if role == 0:
+                    parts.append((x["row"].to_numpy(), x["vec_id"].to_numpy(), quantise(matrix(x["v"].tolist(), width))))
+                    continue
+                if here is None and parts:
+                    here = Block(*(np.concatenate(p) for p in zip(*parts)))
+                out = []
+                if here is not None:
+                    for row, own, q in zip(x["row"], x["vec_id"], quantise(matrix(x["v"].tolist(), width))):
+                        out += [(row, own, i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in here.top(q, k, row)]
+                yield pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
+
+    met = cand.unionByName(quer).repartition("block").sortWithinPartitions("block", "role")
+    got = met.mapInPandas(meet, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return got.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
