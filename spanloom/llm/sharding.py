@@ -8,7 +8,8 @@ band's end goes on to the next band.
 A bucket of one row is final even if that row alone is over the limit. Rows that share all 60 bits (repeated
 ids) are cut into numbered slices instead: within the bucket, rows are numbered per input partition and
 partitions by a running sum, so that no task sees the whole bucket. Null ids hash as empty strings, null and
-empty texts count no bytes. Empty input gives no rows. Extra columns are kept out of the way and not read.
+empty texts count no bytes, texts of any length count whole. Equal hashes always share a bucket, so there are no ties.
+Empty input gives no rows. Extra columns are kept out of the way and not read.
 """
 
 from __future__ import annotations
@@ -53,9 +54,10 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         depth = hi
 
 
-def shard(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, n_bytes, shard (prefix, and slice number after a dot where a prefix of full depth overflows), depth."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+def shard(docs: DataFrame, limit: int, whole: bool = False) -> DataFrame:
+    """doc_id, n_bytes, shard (prefix, and slice number after a dot where a prefix of full depth overflows), depth; if whole, also doc, the row itself."""
+    own = [F.struct("*").alias("doc")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), *own)
     rows = materialise(rows.withColumn("bits", hash_bits("doc_id")), "shard-rows")
     sizes = rows.groupBy("bits").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
     sizes = materialise(sizes, "shard-sizes")
@@ -65,7 +67,8 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     keyed = sizes.withColumn("prefix", F.explode(F.array(*[F.substring("bits", 1, d) for d in sorted(depths)]))) if depths else sizes.withColumn("prefix", F.lit(""))
     placed = keyed.join(leaves, "prefix").select("bits", "prefix", "depth", ((F.col("depth") == BITS) & (F.col("bytes") > limit) & (F.col("rows") > 1)).alias("over"))
     out = rows.join(placed, "bits")
-    plain = out.where(~F.col("over")).select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth")
+    carried = ["doc"] if whole else []
+    plain = out.where(~F.col("over")).select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", *carried)
     hot = out.where("over")
     # first-fit would need one task: every row gets its running byte offset, and slices start at multiples of the room that no row can overrun
     per = hot.groupBy("bits", "part").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("most"))
@@ -74,10 +77,10 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     at = F.coalesce("before", F.lit(0)) + F.coalesce(run, F.lit(0))
     room = F.greatest(F.lit(limit) - F.col("most"), F.lit(1))
     sliced = hot.join(per.drop("b"), ["bits", "part"]).withColumn("slice", F.floor(at / room))
-    return plain.unionByName(sliced.select("doc_id", "n_bytes", F.concat("prefix", F.lit("."), F.col("slice").cast("string")).alias("shard"), "depth"))
+    return plain.unionByName(sliced.select("doc_id", "n_bytes", F.concat("prefix", F.lit("."), F.col("slice").cast("string")).alias("shard"), "depth", *carried))
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """The documents, with every column, as one folder for each shard."""
-    keys = shard(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"])).drop(keys["doc_id"]).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Every document once, with every column but one that is named shard already, as one folder for each shard."""
+    placed = shard(docs, limit, whole=True).repartition("shard")
+    placed.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)
