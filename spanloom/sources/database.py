@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import postings as make_postings
 
-#: Folders of the postings table: a term's postings lie in one of them, sorted by term.
-TERM_BUCKETS = 32
+#: Folders of the postings table: a term's postings lie in one of them, sorted by term. One for so many bytes of text.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 8, 4096
 
 RECORD_COLUMNS = {
     "rec_id": "bigint", "volume": "int", "key": "string", "path": "string", "file": "string", "doctype": "string", "lang": "string", "charset": "string", "category": "int", "priority": "int",
@@ -51,6 +51,9 @@ class Database:
     types: Mapping[str, str] = field(default_factory=dict)
     stop_words: frozenset[str] = frozenset()
     aliases: Mapping[str, str] = field(default_factory=dict)
+    #: term, freq of all postings, and the number of their folders, once saved
+    terms: DataFrame | None = None
+    buckets: int = 0
 
     @property
     def spark(self) -> SparkSession:
@@ -83,17 +86,28 @@ class Database:
     def typed_table(self, kind: str) -> DataFrame:
         return self.typed[kind] if kind in self.typed else self.spark.createDataFrame([], TYPED[kind])
 
-    def save(self, path: str, mode: str = "error") -> None:
+    @property
+    def vocabulary(self) -> DataFrame:
+        """term of every distinct one; of a saved database its dictionary is read."""
+        return self.terms.select("term") if self.terms is not None else self.postings.select("term").distinct()
+
+    def save(self, path: str, mode: str = "error", buckets: int | None = None) -> None:
+        """Write the tables; buckets: folders of the postings, by default as many as the texts' size asks for."""
         self.records.write.mode(mode).parquet(f"{path}/records")
         self.texts.write.mode(mode).parquet(f"{path}/texts")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+        if buckets is None:
+            size = self.spark.read.parquet(f"{path}/records").agg(F.sum("length")).first()[0] or 0
+            buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         # rows of one hot term are spread over several tasks by the record
         out = self.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("rec_id"), F.lit(4)))
         out.sortWithinPartitions("bucket", "term", "rec_id", "s").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-        self.fields.write.mode(mode).partitionBy("field").parquet(f"{path}/fields")
+        self.spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("freq")).write.mode(mode).parquet(f"{path}/terms")
+        # rows of one field are spread over several tasks by the record, and a task writes few fields
+        self.fields.repartition("field", F.pmod(F.xxhash64("rec_id"), F.lit(4))).write.mode(mode).partitionBy("field").parquet(f"{path}/fields")
         for k, t in self.typed.items():
             t.write.mode(mode).parquet(f"{path}/typed_{k}")
-        meta = json.dumps({"types": dict(self.types), "typed": sorted(self.typed), "stop": sorted(self.stop_words), "aliases": dict(self.aliases), "fields": not self.fields.isEmpty()})
+        meta = json.dumps({"types": dict(self.types), "typed": sorted(self.typed), "stop": sorted(self.stop_words), "aliases": dict(self.aliases), "fields": not self.fields.isEmpty(), "buckets": buckets})
         self.spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
     @classmethod
@@ -103,14 +117,14 @@ class Database:
         f = spark.read.schema(fields).parquet(f"{path}/fields").select("rec_id", "field", "path", "s", "e") if m["fields"] else spark.createDataFrame([], fields)
         return cls(
             spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/postings"), f,
-            {k: spark.read.parquet(f"{path}/typed_{k}") for k in m["typed"]}, m["types"], frozenset(m["stop"]), m["aliases"],
+            {k: spark.read.parquet(f"{path}/typed_{k}") for k in m["typed"]}, m["types"], frozenset(m["stop"]), m["aliases"], spark.read.parquet(f"{path}/terms"), m["buckets"],
         )
 
     def lookup(self, term: str) -> DataFrame:
         """Postings of one whole term; of a saved database only its folder is read."""
         p = self.postings.where(F.col("term") == term)
-        if "bucket" in self.postings.columns:
-            p = p.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(TERM_BUCKETS)).cast("int"))  # a constant to the optimizer
+        if self.buckets and "bucket" in self.postings.columns:
+            p = p.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(self.buckets)).cast("int"))  # a constant to the optimizer
         return p
 
     def restricted(self, keep: DataFrame) -> Database:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import line_spans, sentence_spans
+from ..functions.text import field_spans
 from .database import Database
 from .scratch import new_path
 
@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> Database:
         F.col("source").alias("doctype"), "lang", F.coalesce("category", F.lit(0)).alias("category"), F.coalesce("priority", F.lit(0)).alias("priority"),
     )
     text = d.select(F.col("doc_id").alias("rec_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return Database.build(rows, line_spans(text).unionByName(sentence_spans(text)))
+    return Database.build(rows, field_spans(text))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Database:
