@@ -43,10 +43,19 @@ def headline(db: Database, ir: DataFrame, width: int = 80) -> DataFrame:
 
 def contexts(db: Database, ir: DataFrame, around: int = 40) -> DataFrame:
     """rec_id, n (from 1), s, e, before, hit, after: text around every hit, in characters."""
-    h = exploded(ir).withColumn("n", F.row_number().over(W.partitionBy("rec_id").orderBy("s", "e"))).join(db.texts, "rec_id")
-    left = F.when(F.col("s") > 0, byte_slice(F.col("text"), F.lit(0), F.col("s") - 1)).otherwise(F.lit(""))
-    right = F.decode(F.substring(F.encode("text", "UTF-8"), (F.col("e") + 2).cast("int"), F.octet_length("text")), "UTF-8")
-    return h.select("rec_id", "n", "s", "e", F.right(left, F.lit(around)).alias("before"), byte_slice(F.col("text"), F.col("s"), F.col("e")).alias("hit"), F.left(right, F.lit(around)).alias("after"))
+    h = ir.select("rec_id", F.array_sort("hits").alias("hits")).join(db.texts, "rec_id").select("rec_id", "hits", F.encode("text", "UTF-8").alias("b"))
+    # a character has four bytes at most; what is cut in two at a window's far end lies beyond the characters taken
+    far = 4 * around
+    part = lambda a, n: F.make_valid_utf8(F.substring("b", (a + 1).cast("int"), n.cast("int")).cast("string"))
+
+    def one(x):
+        start = F.greatest(x["s"] - far, F.lit(0))
+        return F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), F.right(part(start, x["s"] - start), F.lit(around)).alias("before"), part(x["s"], x["e"] - x["s"] + 1).alias("hit"), F.left(part(x["e"] + 1, F.lit(far)), F.lit(around)).alias("after")
+        )
+
+    h = h.select("rec_id", F.posexplode(F.transform("hits", one)).alias("n", "x"))
+    return h.select("rec_id", (F.col("n") + 1).alias("n"), "x.*")
 
 
 def nth_context(db: Database, ir: DataFrame, n: int, around: int = 40) -> DataFrame:
@@ -106,16 +115,29 @@ def hit_table_xml(db: Database, ir: DataFrame) -> DataFrame:
 
 def highlighted(db: Database, ir: DataFrame, before: str = "<b>", after: str = "</b>") -> DataFrame:
     """rec_id, text with every hit marked. Hits that overlap an earlier one stay unmarked."""
-    h = ir.select("rec_id", "hits").join(db.texts, "rec_id")
-    raw = F.encode("text", "UTF-8")
-    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    apart = F.aggregate(F.array_sort("hits"), empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["e"] >= x["s"]), acc).otherwise(F.concat(acc, F.array(x))))
-    h = h.select("rec_id", "text", raw.alias("b"), apart.alias("h"))
+    h = ir.select("rec_id", F.array_sort("hits").alias("hits")).join(db.texts, "rec_id").select("rec_id", "text", "hits", F.encode("text", "UTF-8").alias("b"))
     part = lambda s, e: F.decode(F.substring("b", (s + 1).cast("int"), (e - s).cast("int")), "UTF-8")
-    prev = lambda i: F.when(i > 0, F.get("h", i - 1)["e"] + 1).otherwise(F.lit(0).cast("bigint"))
-    pieces = F.transform("h", lambda x, i: F.concat(part(prev(i), x["s"]), F.lit(before), part(x["s"], x["e"] + 1), F.lit(after)))
-    tail = part(F.get("h", F.size("h") - 1)["e"] + 1, F.octet_length("text").cast("bigint"))
-    return h.select("rec_id", F.when(F.size("h") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text")).alias("text"))
+    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("at"))
+
+    def add(acc, x):
+        piece = F.concat(part(acc["at"], x["s"]), F.lit(before), part(x["s"], x["e"] + 1), F.lit(after))
+        return F.when(x["s"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["parts"], F.array(piece)).alias("parts"), (x["e"] + 1).alias("at")))
+
+    h = h.select("rec_id", "text", "b", F.aggregate("hits", zero, add).alias("m"))
+    tail = part(F.col("m.at"), F.octet_length("text").cast("bigint"))
+    return h.select("rec_id", F.when(F.size("m.parts") > 0, F.concat(F.array_join("m.parts", ""), tail)).otherwise(F.col("text")).alias("text"))
+
+
+def summary(db: Database, ir: DataFrame, sentences: int = 2, width: int = 200) -> DataFrame:
+    """rec_id, summary: the sentences that hold most hits, in the text's order, cut to a width."""
+    s = db.texts.join(ir.select("rec_id"), "rec_id", "left_semi").select("rec_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?]+[.!?]*|[.!?]+"), F.lit(0))).alias("k", "raw"))
+    w = W.partitionBy("rec_id").orderBy("k")
+    s = s.withColumn("e", F.sum(F.octet_length("raw")).over(w)).withColumn("s", F.col("e") - F.octet_length("raw"))
+    hits = exploded(ir, "hs", "he")
+    n = s.join(hits, "rec_id", "left").groupBy("rec_id", "k", "raw").agg(F.sum(F.when((F.col("hs") >= F.col("s")) & (F.col("hs") < F.col("e")), 1).otherwise(0)).alias("n"))
+    top = n.withColumn("r", F.row_number().over(W.partitionBy("rec_id").orderBy(F.desc("n"), "k"))).where(F.col("r") <= sentences)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "raw"))), lambda x: F.trim(F.regexp_replace(x["raw"], r"\s+", " "))), " ")
+    return top.groupBy("rec_id").agg(F.left(text, F.lit(width)).alias("summary"))
 
 
 def key_lookup(db: Database, key: str) -> DataFrame:

@@ -22,10 +22,8 @@ def _swap(this: DataFrame, other: DataFrame) -> Column:
     return n[1] < n[0]
 
 
-def _scored(pairs: DataFrame, this: DataFrame, other: DataFrame, swap: bool) -> DataFrame:
-    """pairs: rec_id, s, e, os, oe. One row a record: pairs counted, both spans hit, one side's score."""
-    both = F.array(F.struct("s", "e"), F.struct(F.col("os").alias("s"), F.col("oe").alias("e")))
-    got = pairs.groupBy("rec_id").agg(F.count("*").alias("hit_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(both)))).alias("hits"))
+def _with_scores(got: DataFrame, this: DataFrame, other: DataFrame, swap: bool) -> DataFrame:
+    """got (rec_id, hit_count, hits) with one side's score."""
     got = got.join(this.select("rec_id", "score"), "rec_id")
     if swap:
         got = got.join(other.select("rec_id", F.col("score").alias("o_score")), "rec_id").withColumn("_swap", _swap(this, other))
@@ -33,30 +31,65 @@ def _scored(pairs: DataFrame, this: DataFrame, other: DataFrame, swap: bool) ->
     return got.select("rec_id", "score", "hit_count", F.lit(2).cast("bigint").alias("aux_count"), "hits")
 
 
+def _scored(pairs: DataFrame, this: DataFrame, other: DataFrame, swap: bool) -> DataFrame:
+    """pairs: rec_id, s, e, os, oe. One row a record: pairs counted, the spans that occur in any, one side's score."""
+    # sets of spans, not of pairs, are gathered
+    got = pairs.groupBy("rec_id").agg(F.count("*").alias("hit_count"), F.collect_set(F.struct("s", "e")).alias("h"), F.collect_set(F.struct(F.col("os").alias("s"), F.col("oe").alias("e"))).alias("o"))
+    return _with_scores(got.select("rec_id", "hit_count", F.array_sort(F.array_union("h", "o")).alias("hits")), this, other, swap)
+
+
 def _pairs(this: DataFrame, other: DataFrame) -> DataFrame:
     return exploded(this).join(exploded(other, "os", "oe"), "rec_id")
 
 
+def _near(a: DataFrame, b: DataFrame, order: str | None) -> DataFrame:
+    """Pairs of a (rec_id, s, e, d) and b (rec_id, os, oe, d) that don't overlap and are d bytes apart at most.
+
+    The hit that starts later lies within d + 1 bytes after the other's end, so its start falls into one of two bands
+    of d + 1 bytes: hits meet by record and band, and a record's pairs grow with the hits near each other.
+    """
+
+    def meet(first: DataFrame, end: str, second: DataFrame, start: str) -> DataFrame:
+        wide = F.col("d") + 1
+        band = F.floor((F.col(end) + 1) / wide)
+        first = first.withColumn("band", F.explode(F.array(band, band + 1)))
+        second = second.withColumn("band", F.floor(F.col(start) / wide)).drop("d")
+        gap = F.col(start) - F.col(end) - 1
+        return first.join(second, ["rec_id", "band"]).where((gap >= 0) & (gap <= F.col("d"))).select("rec_id", "s", "e", "os", "oe")
+
+    later, earlier = meet(a, "e", b, "os").where("s < os"), meet(b, "oe", a, "s").where("s >= os")
+    return earlier if order == "before" else later if order == "after" else later.unionByName(earlier)
+
+
 def char_prox(this: DataFrame, other: DataFrame, metric: float, order: str | None, lengths: DataFrame, swap: bool) -> DataFrame:
     """Hits at most (metric > 0) or at least (metric < 0) so many bytes apart; overlapping hits are never near.
 
     |metric| < 1 is a share of the record's length, and a distance below 2 then counts as 2.
-    order: before (other starts no later than this) or after.
+    order: before (other starts no later than this) or after. Far pairs are counted as all pairs less the near ones.
     """
-    p = _pairs(this, other)
-    gap = F.when(F.col("s") < F.col("os"), F.col("os") - F.col("e") - 1).otherwise(F.col("s") - F.col("oe") - 1)
+    a, b = exploded(this), exploded(other, "os", "oe")
     if abs(metric) < 1:
-        p = p.join(lengths.select("rec_id", "length"), "rec_id")
-        d = F.floor(0.5 + F.lit(abs(metric)) * (F.col("length") - 1))
-        d = F.when(d <= 1, F.lit(2)).otherwise(d)
+        share = F.floor(0.5 + F.lit(abs(metric)) * (F.col("length") - 1))
+        d = lengths.select("rec_id", F.when(share <= 1, F.lit(2)).otherwise(share).cast("bigint").alias("d"))
+        a, b = a.join(d, "rec_id"), b.join(d, "rec_id")
     else:
-        d = F.lit(int(abs(metric)))
-    p = p.where((gap >= 0) & (gap <= d) if metric > 0 else (gap < 0) | (gap >= d))
-    if order == "before":
-        p = p.where("s >= os")
-    elif order == "after":
-        p = p.where("s < os")
-    return _scored(p.select("rec_id", "s", "e", "os", "oe"), this, other, swap)
+        d = F.lit(int(abs(metric))).cast("bigint")
+        a, b = a.withColumn("d", d), b.withColumn("d", d)
+    if metric > 0:
+        return _scored(_near(a, b, order), this, other, swap)
+    if order is not None:
+        gap = F.when(F.col("s") < F.col("os"), F.col("os") - F.col("e") - 1).otherwise(F.col("s") - F.col("oe") - 1)
+        p = a.join(b.drop("d"), "rec_id").where((gap < 0) | (gap >= F.col("d"))).where("s >= os" if order == "before" else "s < os")
+        return _scored(p.select("rec_id", "s", "e", "os", "oe"), this, other, swap)
+    closer = F.col("d") - 1
+    near = _near(a.withColumn("d", closer).where("d >= 0"), b.withColumn("d", closer).where("d >= 0"), None)
+    # a hit is far from some other one unless it is near to all of them
+    na, nb = a.groupBy("rec_id").agg(F.count("*").alias("na")), b.groupBy("rec_id").agg(F.count("*").alias("nb"))
+    both = na.join(nb, "rec_id")
+    lone = lambda x, s, e, n: x.join(both, "rec_id").join(near.groupBy("rec_id", s, e).agg(F.count("*").alias("k")), ["rec_id", s, e], "left").where(F.coalesce("k", F.lit(0)) < F.col(n)).select("rec_id", F.col(s).alias("s"), F.col(e).alias("e"))
+    hits = lone(a, "s", "e", "nb").unionByName(lone(b, "os", "oe", "na")).groupBy("rec_id").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("hits"))
+    count = both.join(near.groupBy("rec_id").agg(F.count("*").alias("k")), "rec_id", "left").select("rec_id", (F.col("na") * F.col("nb") - F.coalesce("k", F.lit(0))).alias("hit_count")).where("hit_count > 0")
+    return _with_scores(count.join(hits, "rec_id").select("rec_id", "hit_count", "hits"), this, other, swap)
 
 
 def containers(hits: DataFrame, fields: DataFrame) -> DataFrame:

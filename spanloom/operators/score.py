@@ -6,12 +6,18 @@ idf = ln(N / df). Where a norm is zero, scores are zero.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("none", "l2", "l1", "max", "log", "bytes", "af", "cosine_metric", "aux1", "aux2", "aux3")
 
 
+#: Constants of the AF method: how strongly frequencies are damped, and how query weights saturate.
+AF_DAMP, AF_K = 0.75, 7 - 1000
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0.0)))
 
@@ -23,7 +29,7 @@ def normalise(ir: DataFrame, total: int, method: str = "l2", weight: float = 1.0
         return ir.withColumn("score", F.lit(0.0))
     x = F.col(extra) if extra else F.lit(0.0)
     stat = ir.agg(
-        F.count("*").alias("df"), F.sum(tf * tf).alias("t2"), F.sum(tf).alias("t1"), F.max(tf).alias("tm"), F.sum(x * x).alias("x2"), F.sum(tf * x).alias("tx"), F.sum(x).alias("x1")
+        F.count("*").alias("df"), F.sum(tf * tf).alias("t2"), F.sum(tf).alias("t1"), F.max(tf).alias("tm"), F.sum(x * x).alias("x2"), F.sum(tf * x).alias("tx"), F.sum(x).alias("x1"), F.sum(F.log1p(tf)).alias("tl")
     ).select(F.struct("*")).scalar()
     ir = ir.withColumn("_st", stat)
     df = F.greatest(F.col("_st.df"), F.lit(1))
@@ -44,10 +50,13 @@ def normalise(ir: DataFrame, total: int, method: str = "l2", weight: float = 1.0
         ir = ir.join(lengths.select("rec_id", "length"), "rec_id", "left")
         score = tf * w * idf / (1 + F.log(F.greatest(F.col("length").cast("double"), F.lit(1.0))))
     elif method == "af":
-        # tf and idf damped by the share of the largest tf
-        a = 0.75
-        damp = a + (1 - a) * _div(tf, F.col("_st.tm"))
-        score = damp * idf * w
+        # over the set's sum of damped frequencies; weights of -1 or less have no logarithm and score nothing
+        if weight <= -1 or weight == 0:
+            score = F.lit(0.0)
+        else:
+            share = F.log((F.lit(float(total)) - idf + 0.5) / (idf + 0.5)) * F.lit(math.log(weight + 1))
+            damped = F.lit(AF_DAMP * (AF_K + 1) * weight / (AF_K + weight)) * share * F.col("_st.tl")
+            score = _div(_div(tf * idf, share) + x, F.when(damped == 0, F.lit(1.0)).otherwise(F.abs(damped))) * w
     else:
         raise ValueError(f"unknown normalisation {method}")
     return ir.withColumn("score", score).drop("_st", "length")
@@ -79,6 +88,14 @@ def scaled(ir: DataFrame, factor: int = 100) -> DataFrame:
     return ir.withColumn("scaled", F.greatest(F.lit(1), F.least(F.lit(factor), (F.floor(share * (factor - 1) + 0.5) + 1).cast("int")))).drop("_m")
 
 
+def with_priority(ir: DataFrame, factor: float) -> DataFrame:
+    """Scores raised by the factor over the record's priority (none: nothing); the factor is taken in the scores' range."""
+    ends = ir.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).select(F.struct("*")).scalar()
+    ir = ir.withColumn("_m", ends)
+    share = F.when((F.col("_m.hi") != 0) & (F.col("_m.hi") != F.col("_m.lo")), F.lit(factor) * (F.col("_m.hi") - F.col("_m.lo")) / F.nullif(F.col("_m.hi"), F.lit(0.0))).otherwise(F.lit(factor))
+    return ir.withColumn("score", F.col("score") + F.when(F.col("priority") != 0, share / F.nullif(F.col("priority"), F.lit(0))).otherwise(F.lit(0.0))).drop("_m")
+
+
 #: Newsrank: additions up to an age in days, then factors up to an age in hours.
 _AGES = ((1, 5.0), (2, 4.0), (3, 1.75), (7, 0.75), (14, 0.55), (24, 0.43), (60, 0.32), (100, 0.21), (300, 0.10))
 _HOURS = ((2, 12.0), (3, 9.0), (4, 6.2), (8, 4.6), (12, 3.2), (16, 2.6), (23, 2.2))

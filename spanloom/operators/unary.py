@@ -69,7 +69,7 @@ def date_between(lo, hi) -> Column:
     return F.col("date").between(F.lit(lo), F.lit(hi))
 
 
-SORTS = {"score", "hits", "reversehits", "date", "reversedate", "auxcount", "index", "key", "newsrank", "category", "adjscore", "function", "unsorted"}
+SORTS = {"score", "hits", "reversehits", "date", "reversedate", "auxcount", "index", "key", "newsrank", "category", "adjscore", "unsorted"}
 
 
 def sort_order(by: str, now=None) -> list[Column]:
@@ -88,8 +88,35 @@ def sort_order(by: str, now=None) -> list[Column]:
     return table[b]
 
 
-def magnetism(top: DataFrame, factor: float) -> DataFrame:
-    """Of a bounded top list ranked by score, then category: neighbours of one category draw together across small score gaps.
+def drawn_together(categories: list[int], scores: list[float], factor: float, compat: bool = False) -> list[int]:
+    """Positions of a list ranked by score, then category, after rows of one category have drawn together.
+
+    For every row with a category, in order: as long as scores fall by no more than the factor's share of the whole range,
+    a row of that category behind one of another moves up to it, with the one it passes behind it. With compat the two rows are
+    written over those in their places, so that some rows appear twice and others are lost.
+    """
+    at, n = list(range(len(scores))), len(scores)
+    if n <= 4 or not scores[0] or scores[0] == scores[-1]:
+        return at
+    gap = factor * (scores[0] - scores[-1]) / scores[0]
+    for i in range(n - 3):
+        mine = categories[at[i]]
+        if not mine:
+            continue
+        for j in range(i + 1, n - 2):
+            a, b = at[j], at[j + 1]
+            if scores[a] > scores[b] + gap:
+                break
+            if categories[a] != mine and categories[b] == mine:
+                if compat:
+                    at[i + 1], at[i + 2] = b, a
+                else:
+                    at[i + 1 : j + 2] = [b, a, *at[i + 1 : j]]
+    return at
+
+
+def magnetism(top: DataFrame, factor: float, compat: bool = False) -> DataFrame:
+    """Of a bounded top list ranked by score, then category: rows of one category draw together across small score gaps (see drawn_together).
 
     One pass down the list, so it runs as one task over the list that the caller limited.
     """
@@ -98,16 +125,10 @@ def magnetism(top: DataFrame, factor: float) -> DataFrame:
         import pandas as pd
 
         b = pd.concat(list(batches), ignore_index=True)
-        b = b.sort_values(["score", "category", "rec_id"], ascending=[False, False, False]).reset_index(drop=True)
-        if len(b) > 2:
-            hi, lo = b["score"].iloc[0], b["score"].iloc[-1]
-            most = factor * (hi - lo) / hi if hi else 0.0
-            order = list(range(len(b)))
-            for i in range(1, len(order) - 1):
-                x, y, z = (order[i + d] for d in (-1, 0, 1))
-                if b["category"][y] != b["category"][x] and b["category"][z] == b["category"][x] and b["score"][y] - b["score"][z] < most:
-                    order[i], order[i + 1] = z, y
-            b = b.iloc[order].reset_index(drop=True)
+        b["r"] = b["score"].round(PLACES)
+        b = b.sort_values(["r", "category", "rec_id"], ascending=[False, False, False]).reset_index(drop=True)
+        if len(b):
+            b = b.iloc[drawn_together(b["category"].tolist(), b["r"].tolist(), factor, compat)].reset_index(drop=True)
         b["place"] = range(1, len(b) + 1)
         yield b[["rec_id", "score", "category", "place"]]
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_range
 from ..functions.metaphone import metaphone_keys
-from ..functions.text import WORD_RUNS, byte_slice, glob_regex
+from ..functions.text import WORD_RUNS, glob_regex
 from ..operators import boolean as B
 from ..operators import proximity as P
 from ..operators import score as S
 from ..operators import typed as T
 from ..operators import unary as U
 from ..sources.database import Database
-from .ast import Binary, Node, QueryError, Term, Unary
+from .ast import Binary, Node, QueryError, Term, Unary, terms, weighted
 from .parser import parse
 
 _WORD = re.compile(r"[^\W_]+")
@@ -27,13 +27,19 @@ class Engine:
     """Compiles trees over one database. Nothing is collected but the number of records.
 
     normalization: see operators.score. compat: literal behaviour of operators whose documented meaning differs
-    (FAR, bounds of DIST and HITCOUNT). date_range: restricts all lookups to records of those dates.
+    (FAR, bounds of DIST and HITCOUNT). date_range: restricts all lookups to records of those dates. join_words: a
+    phrase of letters that is not found is looked for as one word. phrase_limit: a phrase whose words all occur so often becomes
+    a chain of PRECEDES; the words' frequencies are read for that. sorts: further sort orders (function, private1,
+    extindex64, any name): a function that gives ordering columns, or a table (rec_id, sort_key) to sort by.
+    priority: how much a record's priority adds to its score, divided by the priority.
     """
 
-    def __init__(self, db: Database, normalization: str = "l2", compat: bool = False, date_range: str | None = None, now: datetime | None = None, phonetic: str = "soundex", synonyms: dict | None = None):
+    def __init__(self, db: Database, normalization: str = "l2", compat: bool = False, date_range: str | None = None, now: datetime | None = None, phonetic: str = "soundex", synonyms: dict | None = None, join_words: bool = False, phrase_limit: int | None = None, sorts: dict | None = None, priority: float = 0.0):
         if normalization not in S.METHODS:
             raise QueryError(3, normalization)
         self.db, self.method, self.compat, self.now, self.phonetic, self.synonyms = db, normalization, compat, now, phonetic, synonyms
+        self.join_words, self.phrase_limit, self.priority = join_words, phrase_limit, priority
+        self.sorts = {k.lower(): v for k, v in (sorts or {}).items()}
         self.records = db.live
         if date_range:
             lo, hi = parse_range(date_range)
@@ -58,6 +64,8 @@ class Engine:
             from .parser import expand
 
             node = expand(node, self.synonyms)
+        if self.db.stop_words and all(self._only_stops(t) for t in terms(node)):
+            raise QueryError(4)
         out = self.compile(node)
         if self.method == "cosine_metric":
             out = S.distance_weighted(out)
@@ -66,11 +74,26 @@ class Engine:
     def search(self, query: str | Node, sort: str = "score", limit: int | None = None, offset: int = 0) -> DataFrame:
         """Results with their records' metadata, ranked."""
         out = self.run(query).join(self.db.records, "rec_id")
-        by = U.sort_order(sort, F.lit(self.now) if self.now else F.current_timestamp())
+        if self.priority:
+            out = S.with_priority(out, self.priority)
+        out, by = self._ordered(out, sort)
         if limit is None:
             return out.orderBy(*by) if by else out
         return U.ranked(out, by, limit, offset) if by else out.limit(limit)
 
+    def _only_stops(self, t: Term) -> bool:
+        words = [w.lower() for w in _WORD.findall(t.text)]
+        return not t.relation and t.mode in ("exact", "case", "phrase") and bool(words) and all(w in self.db.stop_words for w in words)
+
+    def _ordered(self, out: DataFrame, sort: str) -> tuple[DataFrame, list[Column]]:
+        """The set joined with its records, and its ordering columns."""
+        own = self.sorts.get(sort.lower())
+        if own is None:
+            return out, U.sort_order(sort, F.lit(self.now) if self.now else F.current_timestamp())
+        if callable(own):
+            return out, [*own(), *U.best_first()]
+        return out.join(own.select("rec_id", "sort_key"), "rec_id", "left"), [F.col("sort_key").asc_nulls_last(), F.col("rec_id")]
+
     # -- compilation
 
     def compile(self, n: Node) -> DataFrame:
@@ -124,7 +147,15 @@ class Engine:
         low = text.lower()
         p = self.db.postings
         if t.mode in ("phrase", "phrase_right"):
-            hits = self._phrase(text, t.mode == "phrase_right")
+            if self.phrase_limit is not None and self._all_common(text):
+                from .parser import phrase_to_prox
+
+                return self.compile(weighted(phrase_to_prox(text), t.weight))
+            hits = self._phrase(text, t.mode == "phrase_right").select("rec_id", "s", "e")
+            if self.join_words and not re.search(r"[0-9]", text):
+                # the joined word counts only where the phrase isn't found at all
+                none = hits.agg(F.count("*")).scalar() == 0
+                hits = hits.unionByName(self.db.lookup("".join(_WORD.findall(low))).select("rec_id", "s", "e").where(none))
         elif t.mode == "exact":
             words = _WORD.findall(low)
             hits = self._phrase(text, False) if len(words) > 1 else self.db.lookup(low)
@@ -146,9 +177,15 @@ class Engine:
             hits = P.inside(hits, self.spans(t.field))
         return self._finish(hits, t)
 
+    def _all_common(self, text: str) -> bool:
+        words = [w.lower() for w in _WORD.findall(text)]
+        freq = self.db.terms if self.db.terms is not None else self.db.postings.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("freq"))
+        found = {r["term"]: r["freq"] for r in freq.where(F.col("term").isin(words)).collect()}  # the phrase's words
+        return len(words) > 1 and all(found.get(w, 0) >= self.phrase_limit for w in words)
+
     def _by_dictionary(self, mode: str, text: str) -> DataFrame:
         """Patterns are matched against distinct terms, then joined with the postings."""
-        words = self.db.postings.select("term").distinct()
+        words = self.db.vocabulary
         low = text.lower()
         if mode == "left":
             good = words.where(F.endswith("term", F.lit(low)))
@@ -182,11 +219,12 @@ class Engine:
 
     def _exact_term(self, low: str) -> DataFrame:
         """Whole terms only: not part of one joined by - _ . or ,"""
-        h = self.db.lookup(low).select("rec_id", "s", "e").join(self.db.texts, "rec_id")
-        around = byte_slice(F.col("text"), F.greatest(F.col("s") - 2, F.lit(0)), F.col("s") - 1)
-        after = byte_slice(F.col("text"), F.col("e") + 1, F.col("e") + 2)
-        before = F.when(F.col("s") > 0, around).otherwise(F.lit(""))
-        joined = F.rlike(before, F.lit(r"[\p{L}\p{N}][-_.,]$")) | F.rlike(after, F.lit(r"^(?:[-_]|[.,][\p{L}\p{N}])"))
+        h = self.db.lookup(low).select("rec_id", "s", "e").join(self.db.texts, "rec_id").withColumn("b", F.encode("text", "UTF-8"))
+        # a letter takes four bytes at most; what is cut in two at the far end is no letter then
+        part = lambda a, n: F.make_valid_utf8(F.substring("b", (a + 1).cast("int"), n.cast("int")).cast("string"))
+        first = F.greatest(F.col("s") - 5, F.lit(0))
+        before, after = part(first, F.col("s") - first), part(F.col("e") + 1, F.lit(5))
+        joined = F.rlike(before, F.lit(r"[\p{L}\p{N}][-_.,]\z")) | F.rlike(after, F.lit(r"^(?:[-_]|[.,][\p{L}\p{N}])"))
         return h.where(~joined).select("rec_id", "s", "e")
 
     def _typed(self, t: Term) -> DataFrame:
@@ -276,8 +314,8 @@ class Engine:
         if op == "BOOST":
             return U.boost(a, arg)
         if op == "SORTBY":
-            by = U.sort_order(arg, F.lit(self.now) if self.now else F.current_timestamp())
-            return a.join(self.db.records, "rec_id").orderBy(*by).select(*B.COLUMNS) if by else a
+            out, by = self._ordered(a.join(self.db.records, "rec_id"), arg)
+            return out.orderBy(*by).select(*B.COLUMNS) if by else a
         if op == "WITHKEY":
             return U.with_records(a, self.records, U.key_matches(arg))
         if op == "FILE":

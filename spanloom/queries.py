@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from .operators import present, scan
 from .operators import score as S
 from .operators import unary as U
-from .plans.ast import Node, Unary
+from .plans.ast import Node, Term, Unary
 from .plans.engine import Engine, smart_search
 from .plans.parser import combined, expand, free_form, literal_phrase, parse, parse_infix, parse_rpn, phonetic_words, phrase_to_prox, words
+from .plans.sql import WORDS as _WORD_RUNS
 from .plans.sql import SqlQuery, base_views, to_sql
+from .plans.sql import q as _q
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,17 +127,53 @@ def sort_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(_db(spark, sf_dir, "events"), "none").search("VALUE>=-1e9", "date", 20).select("rec_id", "place")
 
 
-@query()
+def _newsrank_sql() -> str:
+    s = SqlQuery("events")
+    k = s.set(parse_rpn("VALUE>=50"))
+    hours = f"CASE WHEN h < 0 AND h > -18 THEN 2 ELSE h END"
+    days = "CASE WHEN hh < 0 THEN -floor(-hh / 24.0) ELSE floor(hh / 24.0) END"
+    gains = " + ".join(f"CASE WHEN d <= {a} THEN {g} ELSE 0 END" for a, g in ((1, 5.0), (2, 4.0), (3, 1.75), (7, 0.75), (14, 0.55), (24, 0.43), (60, 0.32), (100, 0.21), (300, 0.10)))
+    factor = "CASE " + " ".join(f"WHEN hh <= {a} THEN {g}" for a, g in ((2, 12.0), (3, 9.0), (4, 6.2), (8, 4.6), (12, 3.2), (16, 2.6), (23, 2.2))) + " ELSE 1.0 END"
+    aged = f"SELECT t.rec_id, score, date, floor((epoch(TIMESTAMP {_q(tables.fixed_now().isoformat(sep=' '))})::BIGINT - floor(epoch(date))) / 3600) AS h FROM t{k} t JOIN r ON r.rec_id = t.rec_id"
+    weighed = f"SELECT *, ((CASE WHEN d = -1 THEN -7.0 WHEN d < 0 THEN d * 6.0 WHEN d = 0 THEN 10.0 ELSE 1.0 END) + {gains}) * {factor} AS w FROM (SELECT *, {days} AS d FROM (SELECT *, {hours} AS hh FROM ({aged})))"
+    return s.text(f"SELECT rec_id, place::INT AS place FROM (SELECT rec_id, row_number() OVER (ORDER BY w::DOUBLE * round(score, 9) DESC NULLS LAST, date DESC NULLS LAST, rec_id DESC) AS place FROM ({weighed})) WHERE place <= 20")
+
+
+@query(_newsrank_sql())
 def sort_newsrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(_db(spark, sf_dir, "events"), now=tables.fixed_now()).search("VALUE>=50", "newsrank", 20).select("rec_id", "place")
 
 
-@query()
+def _magnetism_sql(factor: float) -> str:
+    """The list as a state that a recursion walks: row i draws rows j + 1 of its category up."""
+    s = SqlQuery("documents")
+    k = s.set(_TOP)
+    top = f"SELECT t.rec_id, score, round(score, 9) AS r, coalesce(category, 0)::INT AS category, row_number() OVER (ORDER BY round(score, 9) DESC, coalesce(category, 0) DESC, t.rec_id DESC) AS p FROM t{k} t LEFT JOIN (SELECT doc_id, max(quality) AS category FROM labels GROUP BY doc_id) l ON l.doc_id = t.rec_id QUALIFY p <= 50"
+    first = f"SELECT 1::BIGINT AS i, 2::BIGINT AS j, list({{'rec_id': rec_id, 'score': score, 'r': r, 'category': category}} ORDER BY p) AS t, {factor!r}::DOUBLE * (max(r) - min(r)) / max(r) AS gap FROM top50"
+    over = "j > len(t) - 2 OR t[i].category = 0 OR t[j].r > t[j + 1].r + gap"
+    swap = "t[j].category <> t[i].category AND t[j + 1].category = t[i].category"
+    moved = "list_concat(list_concat(t[1:i], [t[j + 1], t[j]]), list_concat(t[i + 1:j - 1], t[j + 2:len(t)]))"
+    step = f"SELECT CASE WHEN {over} THEN i + 1 ELSE i END, CASE WHEN {over} THEN i + 2 ELSE j + 1 END, CASE WHEN NOT ({over}) AND {swap} THEN {moved} ELSE t END, gap FROM walk WHERE i <= len(t) - 3"
+    s.ctes += [("top50", top), ("walk(i, j, t, gap)", f"{first} UNION ALL {step}"), ("ended", "SELECT t FROM walk ORDER BY i DESC, j DESC LIMIT 1")]
+    text = s.text("SELECT x.rec_id, round(x.score, 6) AS score, x.category, place::INT AS place FROM (SELECT unnest(t) AS x, generate_subscripts(t, 1) AS place FROM ended)")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_magnetism_sql(0.05))
 def sort_magnetism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.magnetism(Engine(_db(spark, sf_dir)).search(_TOP, "adjscore", 50), 0.05)
+    got = U.magnetism(Engine(_db(spark, sf_dir)).search(_TOP, "adjscore", 50), 0.05)
+    return got.withColumn("score", F.round("score", 6))
 
 
-@query()
+def _distance_sql() -> str:
+    s = SqlQuery("documents")
+    k = s.set(_TOP)
+    near = f"SELECT rec_id, min(gap) AS gap, max(n) AS n FROM (SELECT rec_id, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e) - e AS gap, count(*) OVER (PARTITION BY rec_id) AS n FROM h{k}) GROUP BY rec_id"
+    factor = "CASE WHEN gap <= 4 THEN 20.0 WHEN gap <= 10 THEN 8.0 WHEN gap <= 100 THEN 1.5 WHEN gap <= 1000 THEN 1.0 ELSE 0.98 END::DOUBLE"
+    return s.text(f"SELECT t.rec_id, round(CASE WHEN aux_count > 1 AND n > 1 THEN score * {factor} ELSE score END, 6) AS score, hit_count, aux_count FROM t{k} t JOIN ({near}) g ON g.rec_id = t.rec_id")
+
+
+@query(_distance_sql())
 def distance_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(Engine(_db(spark, sf_dir), "cosine_metric").run(_TOP))
 
@@ -149,7 +188,7 @@ def term_metaphone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(Engine(_db(spark, sf_dir), phonetic="metaphone").run("there~"))
 
 
-@query()
+@query(to_sql(parse_rpn("the."), "documents"))
 def term_exactterm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result(Engine(_db(spark, sf_dir)).run(parse_rpn("the.")))
 
@@ -184,7 +223,7 @@ def scan_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_truncated(_db(spark, sf_dir), "th", "ing")
 
 
-@query()
+@query(_views("documents", "SELECT term, count(*) AS freq FROM p WHERE regexp_matches(term, '^t.e.*[a-n]$') GROUP BY term"))
 def scan_globbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_glob(_db(spark, sf_dir), "t?e*[a-n]")
 
@@ -295,7 +334,7 @@ def present_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.present(db, Engine(db).run("the"), "ROLE")
 
 
-@query()
+@query(_views("documents", "SELECT rec_id, CASE WHEN length(line) > 80 THEN left(line, 77) || '...' ELSE line END AS headline FROM (SELECT rec_id, trim(regexp_extract(text, '^\\s*([^\\n]*)', 1)) AS line FROM r WHERE rec_id IN (SELECT rec_id FROM p WHERE term = 'the'))"))
 def present_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _db(spark, sf_dir)
     return present.headline(db, Engine(db).run("the"))
@@ -307,13 +346,18 @@ def present_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.ancestor_content(db, Engine(db).run("with"), "TURN")
 
 
-@query()
+def _char_runs() -> str:
+    """Runs of the texts with their places, in bytes (s, e) and in characters (cs)."""
+    return f"SELECT rec_id, raw, k, sum(strlen(raw)) OVER o - strlen(raw) AS s, sum(strlen(raw)) OVER o - 1 AS e, sum(length(raw)) OVER o - length(raw) AS cs FROM (SELECT rec_id, unnest(x) AS raw, generate_subscripts(x, 1) AS k FROM (SELECT rec_id, regexp_extract_all(text, '{_WORD_RUNS}') AS x FROM r)) WINDOW o AS (PARTITION BY rec_id ORDER BY k)"
+
+
+@query(_views("documents", f"SELECT c.rec_id, row_number() OVER (PARTITION BY c.rec_id ORDER BY c.s)::INT AS n, c.s::BIGINT AS s, c.e::BIGINT AS e, substring(text, greatest(cs - 40, 0)::BIGINT + 1, least(cs, 40)::BIGINT) AS before, raw AS hit, substring(text, (cs + length(raw))::BIGINT + 1, 40) AS after FROM ({_char_runs()}) c JOIN r ON r.rec_id = c.rec_id WHERE lower(raw) = 'the'"))
 def present_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _db(spark, sf_dir)
     return present.contexts(db, Engine(db).run("the"))
 
 
-@query()
+@query(_views("documents", f"SELECT rec_id, string_agg(CASE WHEN lower(raw) = 'the' THEN '<b>' || raw || '</b>' ELSE raw END, '' ORDER BY k) AS text FROM ({_char_runs()}) GROUP BY rec_id HAVING bool_or(lower(raw) = 'the')"))
 def present_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _db(spark, sf_dir)
     return present.highlighted(db, Engine(db).run("the"))
@@ -330,6 +374,116 @@ def key_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.neighbour_keys(_db(spark, sf_dir))
 
 
+def _date_range_sql() -> str:
+    s = SqlQuery("events")
+    rows = "SELECT rec_id, count(*) AS hit_count, 1::BIGINT AS aux_count FROM numbers WHERE field = 'VALUE' AND value >= 50 AND rec_id IN (SELECT rec_id FROM r WHERE date >= TIMESTAMP '2024-01-01' AND date < TIMESTAMP '2024-02-01') GROUP BY rec_id"
+    k = s.add(s.score(1.0, rows), SqlQuery.NONE)
+    return s.text(f"SELECT rec_id, round(score, 6) AS score, hit_count, aux_count FROM t{k}")
+
+
+@query(_date_range_sql())
+def search_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lookups restricted to records of a range of dates."""
+    return result(Engine(_db(spark, sf_dir, "events"), date_range="2024-01").run("VALUE>=50"))
+
+
+@query(to_sql(Unary("NOT", Term("standard", "exact", "TYPE")), "parts"))
+def text_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return result(Engine(_db(spark, sf_dir, "parts")).run(Term("standard", "typed", "TYPE", "<>")))
+
+
+@query(to_sql(parse_rpn("the of AND"), "documents"))
+def term_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = replace(_db(spark, sf_dir), aliases={"article": "the"})
+    return result(Engine(db).run("article of AND"))
+
+
+@query(_views("conversations", "SELECT DISTINCT h.rec_id, g.s, g.e, rtrim(substr(c.line, length(c.role) + 3), chr(10)) AS content FROM p h JOIN f ON f.rec_id = h.rec_id AND f.field = 'TURN' AND f.s <= h.s AND f.e >= h.e JOIN f g ON g.rec_id = f.rec_id AND g.field = 'TEXT' AND f.s <= g.s AND f.e >= g.e JOIN c ON c.rec_id = f.rec_id AND c.first_byte = f.s WHERE term = 'with'"))
+def present_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _db(spark, sf_dir, "conversations")
+    return present.descendants_content(db, Engine(db).run("with"), "TURN", "TEXT")
+
+
+def _best_hit_sql() -> str:
+    s = SqlQuery("documents")
+    k = s.set(_TOP)
+    return s.text(f"SELECT rec_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY coalesce(gap, 1099511627776), s) AS n FROM (SELECT *, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e) - e AS gap FROM h{k})) WHERE n = 1")
+
+
+@query(_best_hit_sql())
+def present_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present.best_hit(Engine(_db(spark, sf_dir)).run(_TOP))
+
+
+@query(_views("documents", "SELECT r.rec_id, '<?xml version=\"1.0\" encoding=\"UTF-8\"?><record key=\"' || key || '\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</record>' AS record FROM r WHERE rec_id IN (SELECT rec_id FROM p WHERE term = 'the')"))
+def present_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _db(spark, sf_dir)
+    return present.formatted(db, Engine(db).run("the"), "XML")
+
+
+@query(_views("documents", "SELECT DISTINCT term FROM p WHERE term LIKE 'th%'"))
+def scan_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.strings(scan.scan_truncated(_db(spark, sf_dir), "th"))
+
+
+def _join_right_sql() -> str:
+    a, b = SqlQuery("documents"), SqlQuery("benchmark")
+    i, j = a.set(parse_rpn("the")), b.set(parse_rpn("the"))
+    inner = a.text(f"SELECT * FROM t{i}"), b.text(f"SELECT * FROM t{j}")
+    return f"SELECT b.rec_id, b.rec_id::VARCHAR AS key, round(a.score + b.score, 6) AS score, b.hit_count FROM ({inner[0]}) a JOIN ({inner[1]}) b ON a.rec_id = b.rec_id"
+
+
+@query(_join_right_sql())
+def op_join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of two databases by key, with the right one's rows."""
+    from .operators.boolean import join_by_key
+
+    a, b = _db(spark, sf_dir), _db(spark, sf_dir, "benchmark")
+    j = join_by_key(Engine(a).run("the"), a.records, Engine(b).run("the"), b.records, "right")
+    return j.select("rec_id", "key", F.round("score", 6).alias("score"), "hit_count")
+
+
+def _priority_sql() -> str:
+    s = SqlQuery("documents")
+    k = s.set(_TOP)
+    labels = "LEFT JOIN (SELECT doc_id, max(toxic) AS priority FROM labels GROUP BY doc_id) l ON l.doc_id = t.rec_id"
+    share = "0.5 * (max(score) OVER () - min(score) OVER ()) / max(score) OVER ()"
+    return s.text(f"SELECT t.rec_id, round(score + CASE WHEN coalesce(priority, 0) <> 0 THEN {share} / priority ELSE 0 END, 6) AS score FROM t{k} t {labels}")
+
+
+@query(_priority_sql())
+def search_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores raised by the records' priorities."""
+    return Engine(_db(spark, sf_dir), priority=0.5).search(_TOP).select("rec_id", F.round("score", 6).alias("score"))
+
+
+@query(to_sql(parse_rpn("the of NEAR:20 with OR"), "documents"))
+def fluent_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.fluent import Session
+
+    s = Session(_db(spark, sf_dir))
+    return result((s.term("the").near(s.term("of"), 20) | s.term("with")).frame())
+
+
+@query(to_sql(parse_rpn("of the PRECEDES"), "documents"))
+def phrase_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase of common words is a chain of PRECEDES."""
+    return result(Engine(_db(spark, sf_dir), phrase_limit=10).run(parse_rpn('"of the"')))
+
+
+@query(to_sql(parse_rpn("the"), "documents"))
+def phrase_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase that isn't found is looked for as one word."""
+    return result(Engine(_db(spark, sf_dir), join_words=True).run(parse_rpn('"t he"')))
+
+
+@query(_views("events", "SELECT rec_id, place::INT AS place FROM (SELECT rec_id, row_number() OVER (ORDER BY rec_id % 7, rec_id DESC) AS place FROM r) WHERE place <= 20"))
+def sort_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order of the caller's own."""
+    own = {"function": lambda: [F.col("rec_id") % 7]}
+    return Engine(_db(spark, sf_dir, "events"), "none", sorts=own).search("VALUE>=-1e9", "function", 20).select("rec_id", "place")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.doctypes import parse_files
 

@@ -79,8 +79,9 @@ def test_within_rescoring(tree):
 def test_scores(spark):
     d = db(spark, {1: "a", 2: "a a", 3: "a a a", 4: "b"})
     idf, tf = math.log(4 / 3), {1: 1, 2: 2, 3: 3}
+    share = math.log((4 - idf + 0.5) / (idf + 0.5)) * math.log(2)
     want = {
-        "l2": lambda t: t / math.sqrt(14), "l1": lambda t: t / 6, "max": lambda t: 0.4 + 0.6 * t / 3, "log": lambda t: 1 + math.log(t * idf), "bytes": lambda t: t * idf / (1 + math.log(2 * t - 1)), "none": lambda t: 0, "af": lambda t: (0.75 + 0.25 * t / 3) * idf,
+        "l2": lambda t: t / math.sqrt(14), "l1": lambda t: t / 6, "max": lambda t: 0.4 + 0.6 * t / 3, "log": lambda t: 1 + math.log(t * idf), "bytes": lambda t: t * idf / (1 + math.log(2 * t - 1)), "none": lambda t: 0, "af": lambda t: t * idf / share / abs(sum(0.75 * math.log(x + 1) * share for x in tf.values())),
     }
     for m, f in want.items():
         got = run(d, "a", normalization=m)
@@ -197,7 +198,12 @@ def test_sorts_and_magnetism(spark):
     order = lambda by: [r.rec_id for r in Engine(d, now=datetime(2024, 6, 1)).search("a", by, 9).orderBy("place").collect()]
     assert order("score") == [3, 2, 1] and order("reversehits") == [1, 2, 3] and order("date") == [2, 1, 3] and order("category") == [2, 3, 1] and order("newsrank")[0] == 2 and order("index") == [1, 2, 3]
     top = spark.createDataFrame([(1, 1.0, 1), (2, 0.9, 2), (3, 0.89, 1), (4, 0.1, 3)], "rec_id long, score double, category int")
-    assert [r.rec_id for r in U.magnetism(top, 0.1).orderBy("place").collect()] == [1, 3, 2, 4]
+    assert [r.rec_id for r in U.magnetism(top, 0.1).orderBy("place").collect()] == [1, 2, 3, 4]  # too few rows
+    top = top.unionByName(spark.createDataFrame([(5, 0.05, 1), (6, 0.01, 0), (7, 0.0, 0)], "rec_id long, score double, category int"))
+    assert [r.rec_id for r in U.magnetism(top, 0.1).orderBy("place").collect()] == [1, 3, 2, 4, 5, 6, 7]
+    cats, scores = [1, 2, 2, 1, 0, 0, 0], [1.0, 0.99, 0.98, 0.97, 0.2, 0.1, 0.0]
+    assert U.drawn_together(cats, scores, 0.1) == [0, 3, 2, 1, 4, 5, 6] and U.drawn_together(cats, scores, 0.1, compat=True) == [0, 3, 3, 2, 4, 5, 6]
+    assert U.drawn_together([0, 2, 2, 1, 0, 0, 0], scores, 0.1) == list(range(7))
     assert set(run(d, "a", date_range="2024")) == {2} and set(run(d, "a WITHIN:2020")) == {1}
 
 
@@ -212,3 +218,69 @@ def test_functions(spark):
     assert tuple(x) == (True, True, True, 16909060.0, 10.0, 20.0)
     ttl = spark.createDataFrame([("90",), ("2 hours",), ("30 sec",), ("1 month",), ("2030-01-01",)], "x string").select(dates.ttl_minutes(F.col("x")), dates.expires_at(F.col("x"), F.lit(datetime(2024, 1, 31)))).collect()
     assert ttl[0][1] == datetime(2024, 1, 31, 1, 30) and ttl[1][0] == 120 and ttl[2][0] == 0.5 and ttl[3][1] == datetime(2024, 2, 29) and ttl[4][1] == datetime(2030, 1, 1)
+
+
+def test_stop_words_joined_words_and_phrase_limit(spark):
+    texts = {1: "the data base is here", 2: "a database of the is", 3: "the is the is", 4: "is so the"}
+    d = db(spark, texts, stop_words=frozenset({"the", "is"}))
+    for q in ("the", "the is OR", '"the is"'):
+        with pytest.raises(QueryError) as e:
+            run(d, q)
+        assert e.value.code == 4
+    assert set(run(d, "the database OR")) == {2}
+    d = db(spark, texts)
+    assert set(run(d, '"data base"', join_words=True)) == {1} and set(run(db(spark, {2: texts[2]}), '"data base"', join_words=True)) == {2} and run(db(spark, {2: texts[2]}), '"data base"') == {}
+    assert set(run(d, '"the is"')) == {2, 3} and set(run(d, '"is the"', phrase_limit=3)) == set(run(d, "is the PRECEDES")) and set(run(d, '"is the"', phrase_limit=100)) == {3}
+
+
+def test_own_sorts_priority_and_fluent_sets(spark):
+    from spanloom.plans.fluent import Session
+
+    rows = spark.createDataFrame([(1, "a b", 0), (2, "a a c", 2), (3, "a a a", 1)], "rec_id long, text string, priority int")
+    d = Database.build(rows)
+    keys = spark.createDataFrame([(1, "m"), (3, "k")], "rec_id long, sort_key string")
+    order = lambda by, **o: [r.rec_id for r in Engine(d, **o).search("a", by, 9).orderBy("place").collect()]
+    assert order("function", sorts={"function": lambda: [F.col("rec_id") % 2]}) == [2, 3, 1] and order("ExtIndex64", sorts={"extindex64": keys}) == [3, 1, 2]
+    with pytest.raises(ValueError):
+        order("function")
+    plain, more = ({r.rec_id: r.score for r in Engine(d, priority=p).search("a b OR").collect()} for p in (0.0, 0.5))
+    share = 0.5 * (max(plain.values()) - min(plain.values())) / max(plain.values())
+    assert more == pytest.approx({1: plain[1], 2: plain[2] + share / 2, 3: plain[3] + share})
+    s = Session(d)
+    a, b, c = s.term("a"), s.term("b"), s.term("c")
+    ids = lambda x: {r.rec_id for r in x.frame().collect()}
+    assert ids(a & b) == {1} and ids(a - b) == {2, 3} and ids(b | c) == {1, 2} and ids(~a) == set() and ids(a ^ b) == {2, 3} and ids(a.near(b, 5)) == {1} and ids(a.adj(b)) == {1} and ids(a.nand(b)) == {2, 3}
+    assert (a.near(b, 5) | c).rpn == "a b NEAR:5 c OR" and [r.rec_id for r in a.boost(2).top(1).collect()] == [3]
+    with pytest.raises(AttributeError):
+        a.nothing(b)
+
+
+def test_far_pairs_by_subtraction(spark):
+    """Against all pairs, with hits of any width and overlaps."""
+    import random
+
+    r = random.Random(5)
+    texts = {k: " ".join(r.choice(["aa", "bbbb", "c", "-----------------------------"]) for _ in range(r.randrange(2, 40))) for k in range(1, 9)}
+    d = db(spark, texts)
+    import re
+
+    for q, far in (("aa bbbb NEAR:9", False), ("aa bbbb DIST>=9", True), ("aa aa DIST>=30", True), ("aa bbbb NEAR:20%", False)):
+        x, y = q.split()[:2]
+        got = {k: (v.hit_count, len(v.hits)) for k, v in run(d, q).items()}
+        want = {}
+        for k, t in texts.items():
+            most = max(2, math.floor(0.5 + 0.2 * (len(t) - 1))) if "%" in q else int(re.findall("[0-9]+", q)[-1])
+            spans = [[(m.start(), m.end() - 1) for m in re.finditer(rf"\b{w}\b", t)] for w in (x, y)]
+            pairs = [(p, o) for p in spans[0] for o in spans[1] if (lambda g: (g < 0 or g >= most) if far else 0 <= g <= most)(o[0] - p[1] - 1 if p[0] < o[0] else p[0] - o[1] - 1)]
+            if pairs:
+                want[k] = (len(pairs), len({s for pair in pairs for s in pair}))
+        assert got == want, q
+
+
+def test_summary_and_contexts(spark):
+    d = db(spark, {1: "One thing. The fox é and the fox! Nothing else. A fox."})
+    ir = Engine(d).run("fox")
+    assert present.summary(d, ir, 1).first().summary == "The fox é and the fox!" and present.summary(d, ir, 2).first().summary == "The fox é and the fox! A fox."
+    got = [(r.n, r.before, r.hit, r.after) for r in present.contexts(d, ir, 6).orderBy("n").collect()]
+    assert got == [(1, ". The ", "fox", " é and"), (2, "d the ", "fox", "! Noth"), (3, "se. A ", "fox", ".")]
+    assert present.highlighted(d, ir).first().text.count("<b>fox</b>") == 3
