@@ -7,7 +7,8 @@ and the pieces between such cuts are encoded in parallel. A chunk pair that neve
 pre-token longer than the overlap) is scanned on from the last sure boundary. Decoding concatenates the
 raw bytes of the tokens.
 
-Null and empty texts have no tokens. Repeated rows each give a row. Extra columns are not read.
+Null and empty texts have no tokens, empty tables no rows. Texts may be of any length; a long one is put together in one
+task, as text and as ids. There are no ties: an encoding is unique. Repeated rows each give a row. Extra columns are not read.
 """
 
 from __future__ import annotations

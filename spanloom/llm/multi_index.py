@@ -11,8 +11,8 @@ Identical vectors are one candidate with a multiplicity. Cells are cut into bloc
 against visitors; a block pair returns counts and a spanning forest of its links, never its pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of
-different lengths don't link. Repeated rows each give a row and are each other's links. Extra columns are
-not read.
+different lengths don't link. Repeated rows each give a row and are each other's links; a cosine of exactly the threshold
+links, and of equally near centroids the first one counts. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ so on up a tree until one group holds them all or a round gains next to nothing.
 block, so a round ships (bin, used) only and the pieces are renumbered by one join at the end.
 
 Memory: one partition's pieces (flushed every FLUSH of them, or every FLUSH_IDS ids), or GROUP bins, as narrow rows.
-Null and empty texts are the single end id. Repeated rows are packed each. Extra columns are not read.
+Null and empty texts are the single end id, empty tables give no rows. Texts of any length are cut after tokenising. Of pieces of
+one length the earlier goes first, of equally full bins any. Repeated rows are packed each. Extra columns are not read.
 """
 
 from __future__ import annotations

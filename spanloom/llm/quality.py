@@ -8,6 +8,7 @@ distance by the class's Cholesky factor, which is computed once and sent with th
 
 Null and empty texts have the statistics of no words and get a score like any other. Rows with a null
 label teach nothing. Without rows of both classes the score is the share of label 1 (0.5 without any).
+A score of exactly 0.7 predicts 1. Texts may be of any length, for statistics are sums over them; empty tables give no rows.
 Repeated rows count and are scored each. Extra columns are not read.
 """
 

@@ -6,7 +6,8 @@ over its bytes gives the postings of the trigrams that some rule asks for, conju
 disjunctions unite them, and the regex verifies the candidate documents' whole texts. A rule whose regex
 has no mandatory trigram scans every document. No shuffle, and memory bounded by the batch.
 
-Null and empty texts have no spans; repeated rows each give a row; extra columns are not read.
+Null and empty texts have no spans, empty tables give no rows; texts may be of any length and are scanned whole. Spans that
+start alike go by kind as listed. Repeated rows each give a row; extra columns are not read.
 """
 
 from __future__ import annotations
