@@ -61,8 +61,8 @@ ADDED = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _test(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "^$", r"ssn|social|security|tax"),
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b", _test(r"\b[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), r"^[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?$", rf"^{_any(g.IBAN)}[0-9]", _CARD + "|bank"),
     "person": (rf"(?:\b{_TITLE}|(?<=\b(?:[Nn]ame|[Dd]ear|[Cc]ontact|[Aa]uthor|[Ss]igned|[Ss]incerely|[Rr]egards|[Cc]all|[Bb]y)[:,]?[\x20\n])){_CAP}(?:\x20{_CAP})?\b", _test(rf"\b{_TITLE}{_CAP}|\b(?:[Nn]ame|[Dd]ear|[Cc]ontact|[Aa]uthor|[Ss]igned|[Ss]incerely|[Rr]egards|[Cc]all|[Bb]y)[:,]?[\x20\n]{_CAP}"), rf"^{_TITLE}|\x20", rf"\b{_any(g.GIVEN)}\b|\b{_any(g.SURNAMES)}$", r"name|signed|dear|contact|author|sincerely|regards|call"),
-    "account": (r"(?<![0-9.,/])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", _test(r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}"), None, rf"^{_any(g.ISSUERS)}", _CARD),
-    "phone_bare": (r"(?<![0-9.,+/#-])[0-9]{9,11}(?![0-9.,/-])", _test(r"[0-9]{9}"), r"^(?:0|1?[2-9])[0-9]{8,9}$", rf"^0|^1?{_any(g.AREAS)}", _PHONE),
+    "account": (r"(?<![\p{L}0-9.,/])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![\p{L}0-9])", _test(r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}"), None, rf"^{_any(g.ISSUERS)}", _CARD),
+    "phone_bare": (r"(?<![\p{L}0-9.,+/#-])[0-9]{9,11}(?![\p{L}0-9.,/-])", _test(r"[0-9]{9}"), r"^(?:0|1?[2-9])[0-9]{8,9}$", rf"^0|^1?{_any(g.AREAS)}", _PHONE),
     "dotted": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){1,5}(?!\.?[0-9])", _test(r"[0-9]\.[0-9]"), r"^[0-9]+(?:\.[0-9]+){3}$", "^$", r"ip|host|server|address|adresse"),
 }
 #: The same for base spans, which stay whatever the votes are.
