@@ -67,23 +67,10 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def one_column(df: DataFrame, column: str, default: str | None = None) -> DataFrame:
-    """Only the columns an operator reads, so that extra columns can't clash with its own."""
-    c = F.col(f"`{column}`")
-    return df.select((F.coalesce(c, F.lit(default)) if default is not None else c).alias(column))
-
-
+#: Rows of fixed width up to which a side is broadcast (some tens of MB).
 SMALL = 1_000_000
 
 
-def semi(df: DataFrame, keys: DataFrame, on: list[str], bound: int = SMALL) -> DataFrame:
-    """Rows of df whose `on` is among keys: by broadcast if there are at most `bound` of them, else by shuffle."""
-    keys = keys.select(*on).distinct()
-    if keys.count() <= bound:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, "left_semi")
-
-
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root): the smallest node reachable over undirected edges (a, b), by alternating large-star and small-star.
 
@@ -120,12 +107,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 #: Members from which a bucket's rest is not compared as it is, but split by a second key.
 HOT = 512
+#: Pairs that are always few enough to be compared at once.
+FEW = 200_000
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "link", star_rounds: int = 3, slack: int = 16, depth: int = 0) -> DataFrame:
+def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], name: str = "link", meets: str = "true", star_rounds: int = 3, slack: int = 128, depth: int = 0) -> DataFrame:
     """Verified links (a < b) that connect what shares a bucket and passes verify.
 
-    members: distinct (key, id), ids comparable longs. verify: keeps the pairs (a, b) that are really linked.
+    members: (key, id), also repeatedly, ids comparable longs, and mark, unless describe makes that. describe: (id, mark) of
+    the ids given, which are those in buckets of two or more. meets: SQL condition on x.mark and y.mark that every linked pair
+    fulfils; it is held against pairs as they meet, and only the rest is written. verify: keeps the pairs (a, b) that are really linked.
     A bucket never emits all its pairs. Star rounds test each member against one leader of its bucket.
     Then only members outside their bucket's largest component are tested against the rest of the bucket,
     so that every pair between different components is tested: the components are exactly those of all
@@ -134,45 +125,52 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     members meet where they share a second key too (and a third one at depth 2), which similar members do and
     members that only share one common key don't; so the pairs grow with the members, not with their square.
     """
-    counts = materialise(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-buckets")
-    live = materialise(members.select("key", "id").join(F.broadcast(counts) if counts.count() <= SMALL else counts, "key"), f"{name}-members")
+    # keys of two ids or more, by partial sums that don't grow with repeated members
+    shared = members.groupBy("key").agg(F.min(F.hash("id")).alias("lo"), F.max(F.hash("id")).alias("hi")).where("lo <> hi").select("key")
+    shared = materialise(shared, f"{name}-buckets")
+    bare = materialise(members.join(F.broadcast(shared) if shared.count() <= SMALL else shared, "key").dropDuplicates(["key", "id"]), f"{name}-bare")
+    live = bare.join(bare.groupBy("key").agg(F.count("*").alias("n")), "key")
+    live = live if describe is None else live.join(describe(bare.select("id").distinct()), "id")  # the mark comes last: it is wide
+    live = materialise(live, f"{name}-members")
+    discard(bare, shared)
     total = live.count()
     links, tested, comp = None, None, None
     r = 0
+    side = lambda c: F.struct("mark").alias(c)
+    pair = lambda other: [F.least(other, "id").alias("a"), F.greatest(other, "id").alias("b")]
     while True:
         if comp is None:
             marked = live.withColumn("c", F.col("id"))
         else:
             # the only pair of a bucket of two is tested by now
-            placed = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-            span = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            marked = materialise(placed.join(span, "key"), f"{name}-marked")
-            sizes = marked.groupBy("key", "c").agg(F.count("*").alias("n"))
+            placed = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "mark", F.coalesce("root", "id").alias("c"))
+            marked = materialise(placed, f"{name}-marked")
+            span = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+            sizes = marked.join(span, "key", "left_semi").groupBy("key", "c").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", "n").alias("main"))
             main = materialise(main.select("key", "n", "main", (F.col("n") - F.col("most")).alias("rest")), f"{name}-main")
             work = main.agg(F.sum(F.col("n") * F.col("rest")).alias("w"), F.count("*").alias("k"), F.max(F.when(F.col("rest") > slack, F.col("n"))).alias("hot")).first()
             if not work["k"]:
                 break
-            small = work["w"] <= slack * max(total, 1)
+            hot = (F.col("n") > HOT) & (F.col("rest") > slack)
+            small = work["w"] <= max(slack * total, FEW)
             # with three keys in common, stars go on as long as they link anything
             if small or r >= star_rounds and (depth < 2 or found.isEmpty()):
-                hot = (F.col("n") > HOT) & (F.col("rest") > slack)
                 split = not small and depth < 2 and (work["hot"] or 0) > HOT
                 here = main.where(~hot) if split else main
-                outside = marked.join(here.select("key", "main"), "key").where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-                todo = outside.join(marked, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+                outside = marked.join(here.select("key", "main"), "key").where("c <> main").select("key", F.col("id").alias("other"), F.col("c").alias("cx"), side("x"))
+                todo = outside.join(marked.select("key", "id", "c", side("y")), "key").where("c <> cx").where(meets).select(*pair("other")).distinct()
                 links = links.unionByName(materialise(verify(todo.join(tested, ["a", "b"], "left_anti")), f"{name}-links"))
                 if split:
-                    first = marked.join(main.where(hot).select("key"), "key").select("id", F.col("key").alias("k1"))
+                    first = marked.join(main.where(hot).select("key"), "key").select("id", F.col("key").alias("k1"), "mark")
                     both = first.join(live.select("id", F.col("key").alias("k2")), "id").where("k1 <> k2")
-                    both = both.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id").distinct()
-                    links = links.unionByName(link_in_buckets(both, verify, name, star_rounds, slack, depth + 1))
+                    both = both.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id", "mark").dropDuplicates(["key", "id"])
+                    links = links.unionByName(link_in_buckets(both, None, verify, name, meets, star_rounds, slack, depth + 1))
                 break
-        if comp is None:
-            lead = marked.groupBy("key").agg(F.min("id").alias("lead")).withColumn("lc", F.col("lead"))
-        else:
-            lead = marked.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("lead"), F.min_by("c", F.xxhash64("id", F.lit(r))).alias("lc"))
-        todo = marked.join(lead, "key").where("id <> lead and c <> lc").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+            marked = marked.join(main.select("key"), "key", "left_semi")
+        lead = marked.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead"))
+        lead = lead.join(marked.select("key", F.col("id").alias("lead"), F.col("c").alias("lc"), side("y")), ["key", "lead"])
+        todo = marked.select("key", "id", "c", side("x")).join(lead, "key").where("id <> lead and c <> lc").where(meets).select(*pair("lead")).distinct()
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
         todo = materialise(todo, f"{name}-todo")
@@ -183,5 +181,5 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             discard(comp)
         comp = materialise(components(links, f"{name}-cc"), f"{name}-comp")
         r += 1
-    discard(live, counts)
+    discard(live)
     return links
