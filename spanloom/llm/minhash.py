@@ -3,12 +3,14 @@
 A document's set is its distinct k-word shingles as 64-bit hashes. LANES minima give BANDS band keys for
 candidates (at a similarity of 0.8 a pair misses every band with a probability of 3e-6) and, cut to their
 low BITS bits, one packed signature. Candidates whose similarity, estimated from the signatures' equal lanes
-and corrected for lanes equal by chance, lies more than six standard deviations below the threshold go;
+and corrected for lanes equal by chance, lies more than five standard deviations below the threshold go;
 the others are confirmed on their full sets. Texts of the same words are one candidate. Buckets never emit
 all their pairs (see common.link_in_buckets), yet components are those of all links found.
 
-Null, empty and blank texts have empty sets and are linked with nothing. Repeated rows each give a row.
-Extra columns are not read.
+Null, empty and blank texts have empty sets and are linked with nothing; empty tables give no rows. Texts may be of any
+length: a set is held by one task, 8 bytes for each shingle. Repeated rows each give a row; rows that repeat a doc_id
+with other texts are linked by their own texts and never join each other's groups for the id's sake. The smallest
+doc_id of a group stays; where several rows have it, all of them do (the pipeline keeps one). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import components, link_in_buckets, materialise, ship
 BANDS, ROWS, BITS = 32, 5, 2
 LANES = BANDS * ROWS
 LONGS = LANES * BITS // 64
-SLACK = 0.25
+SLACK = 0.2
 MEMBERS = 1024
 
 _rng = np.random.default_rng(20240917)
@@ -90,20 +92,21 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def estimate(a, b):
-    """Column: similarity from two signatures, corrected for lanes that agree by chance."""
-    ones = F.lit(0x5555555555555555)
-    differ = None
-    for k in range(LONGS):
-        x = F.element_at(a, k + 1).bitwiseXOR(F.element_at(b, k + 1))
-        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
-        differ = n if differ is None else differ + n
+def estimate(a: str, b: str) -> str:
+    """SQL: similarity from two signatures, corrected for lanes that agree by chance."""
+    lanes = [f"({a}[{k}] ^ {b}[{k}])" for k in range(LONGS)]
+    differ = " + ".join(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & {0x5555555555555555}L)" for x in lanes)
     chance = 1.0 / (1 << BITS)
-    return (1 - differ / F.lit(float(LANES)) - chance) / (1 - chance)
+    return f"((1 - ({differ}) / {float(LANES)}D - {chance}D) / {1 - chance}D)"
+
+
+def text_key():
+    """Column: tells texts apart, the same in every run."""
+    return F.xxhash64(F.lit(11), F.col("text").cast("string"))
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, words (digest of the word sequence), sig, bands of every row."""
+    """doc_id, tk, n_shingles, words (digest of the word sequence), sig, bands of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Words()
@@ -118,27 +121,37 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                     seq.append(hashlib.md5(b" ".join(w)).digest() if w else None)
                     low.append(minima(s))
                 low = np.array(low)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": n, "words": seq, "sig": list(signature(low)), "bands": list(band_keys(low))})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "tk": part["tk"].to_numpy(), "n_shingles": n, "words": seq, "sig": list(signature(low)), "bands": list(band_keys(low))})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInPandas(run, "doc_id long, n_shingles long, words binary, sig array<long>, bands array<long>")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+    return src.mapInPandas(run, "doc_id long, tk long, n_shingles long, words binary, sig array<long>, bands array<long>")
 
 
 def link_documents(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links need 100 * intersection >= percent * union."""
+    return link_rows(docs, k, percent).drop("tk", "root")
+
+
+def link_rows(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
+    """The same with tk (text_key), by which rows of one doc_id are told apart, and root, which tells groups apart (null: no words)."""
     spark = docs.sparkSession
     ship(spark)
     rows = materialise(sketch(docs, k), "minhash-rows")
+    # one node for each sequence of words, found again by the first row that has it
     reps = materialise(
-        rows.where("words is not null and doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-reps"
+        rows.where("words is not null and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "tk")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select(F.xxhash64("words").alias("id"), "words", "at.*", "sig", "bands"), "minhash-reps"
     )
     members = reps.select("id", F.explode("bands").alias("key")).distinct()
-    sigs = reps.select("id", "sig")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = members.join(shared, "key").select("id").distinct()
-    texts = materialise(
-        docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi"), "minhash-texts"
-    )
+    texts: list[DataFrame] = []
+
+    def describe(ids: DataFrame) -> DataFrame:
+        """Signatures of documents that meet any other; their texts are set apart once, here."""
+        ids = materialise(ids, "minhash-ids")
+        at = reps.join(ids, "id", "left_semi").select("doc_id", "tk", "id")
+        src = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
+        # repeated rows have the same text, whichever is met
+        texts.append(materialise(src.join(at, ["doc_id", "tk"]).select("id", "text"), "minhash-texts"))
+        return reps.join(ids, "id", "left_semi").select("id", F.col("sig").alias("mark"))
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, a, first = _Words(), None, None
@@ -155,26 +168,25 @@ def link_documents(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near = (
-            pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-            .where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK).select("a", "b")
-        )
-        near = materialise(near, "minhash-near")
+        near = materialise(pairs, "minhash-near")
         # a text that is the left side of many pairs is sent once for every MEMBERS of them
         salts = near.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
         right = near.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("side"))
         left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("side"))
         return (
-            left.unionByName(right).join(texts, "id")
+            left.unionByName(right).join(texts[0], "id")
             .select("a", "salt", F.when(F.col("side") == 0, F.lit(-1)).otherwise(F.lit(1)).alias("side"), "id", "text")
             .repartition("a", "salt").sortWithinPartitions("a", "salt", "side", "id")
             .select("a", "salt", F.when(F.col("side") == -1, F.lit(-1).cast("long")).otherwise(F.col("id")).alias("b"), "text")
             .mapInPandas(confirm, "a long, b long").distinct()
         )
 
-    links = link_in_buckets(members, verify, "minhash")
+    links = link_in_buckets(members, describe, verify, "minhash", estimate("x.mark", "y.mark") + f" >= {percent / 100 - SLACK}")
     comp = materialise(components(links, "minhash-cc"), "minhash-comp")
-    group = reps.select("words", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("root", "id").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "words").join(group, "words", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    node = reps.select("words", "id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("words", "doc_id", F.coalesce("root", "id").alias("root"))
+    node = materialise(node, "minhash-nodes")
+    least = node.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    group = node.join(least.where("n > 1").select("root", "component_id"), "root", "left").select("words", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "tk", "n_shingles", "words").join(group, "words", "left")
+    out = out.select("doc_id", "tk", "root", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
