@@ -175,6 +175,21 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_own_secret_rules_against_plain_regex(spark):
+    r = random.Random(9)
+    chars = lambda k, abc="abcXYZ0189_-": "".join(r.choice(abc) for _ in range(k))
+    made = [lambda: "ghp_" + chars(36, "abC019"), lambda: "gho_" + chars(35, "abC019"), lambda: "xoxb-" + chars(12, "ab1-"), lambda: "AIza" + chars(35), lambda: "AIza" + chars(30), lambda: "eyJ" + chars(9) + ".eyJ" + chars(9) + "." + chars(9), lambda: "eyJab.eyJ", lambda: "-----BEGIN PRIVATE KEY-----", lambda: "-----BEGIN EC PRIVATE KEY----- x", lambda: "é 漢"]
+    rows = [(d, " ".join(r.choice(made)() if r.random() < 0.4 else words(2, r.random()) for _ in range(r.randrange(1, 12)))) for d in range(200)] + [(900, "x" * 200_000 + " " + made[0]())]
+    got = {x.doc_id: set(filter(None, x.spans.split(","))) for x in secrets.scan(docs(spark, rows)).collect()}
+    own = [x for x in secrets.RULES if not x.base]
+    total = 0
+    for d, t in rows:
+        want = {f"{x.kind}:{m.start()}:{m.end()}" for x in own for m in re.finditer(x.pattern, t)}
+        assert {x for x in got[d] if x.split(":")[0] in {y.kind for y in own}} == want
+        total += len(want)
+    assert total > 100
+
+
 def test_trigram_queries():
     q, fold = secrets.trigram_query(r"(?ai:(token|secret))=x+")
     assert fold and all({"tok", "oke", "ken"} <= set(c) or {"sec", "ecr", "cre", "ret"} <= set(c) for c in q)
@@ -221,6 +236,25 @@ def test_quality_learns_held_out(spark):
     assert kept == {d for d, r in out.items() if d < 600 and r.predicted}
 
 
+def test_quality_against_plain_densities(spark):
+    """Scores by covariances of the rows themselves, determinants and solved systems."""
+    rows, labels = quality_rows(400, 8)
+    x = {d: np.array(quality.statistics(t)) for d, t in rows}
+    y = {d: q for d, q, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2}
+    by = [np.array([x[d] for d in y if y[d] == k]) for k in (0, 1)]
+    cov = [np.cov(b.T, bias=True) for b in by]
+    pooled = sum(len(b) * c for b, c in zip(by, cov)) / len(y)
+    shrunk = []
+    for c in cov:
+        c = 0.9 * c + 0.1 * pooled
+        shrunk.append(0.95 * c + 0.05 * np.diag(np.diag(c)) + 1e-3 * np.eye(len(c)))
+    log = [[np.log(len(b) / len(y)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (v - b.mean(0)) @ np.linalg.solve(c, v - b.mean(0)) for b, c in zip(by, shrunk)] for v in x.values()]
+    want = {d: 1 / (1 + np.exp(np.clip(a - b, -500, 500))) for d, (a, b) in zip(x, log)}
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.classify(docs(spark, rows), lab).collect()}
+    assert all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_quality_degenerate(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(docs(spark, HARD), none).collect()} == {0.5}
