@@ -1,10 +1,10 @@
-"""Exact top-k search by inner product over an impact-ordered index, score at a time.
+"""Exact top-k search by inner product over an impact-ordered index, a batch of queries at a time.
 
-A block of candidates is indexed by (dimension, level) segments, a component's level being its value
-rounded to a multiple of LEVEL. For a query, the segments' impacts (query component times level) are
-processed by descending size into accumulators. A candidate's score can't differ from its accumulator by
-more than the impacts still open plus the norm of the query times that of its rounding error
-(Cauchy-Schwarz). Processing stops only when those bounds prove that few candidates can be members of the
+A block of candidates is indexed as two planes: components rounded to multiples of LEVEL, and what rounding took from
+them; the dimensions with the largest levels come first. For a batch of queries, impacts (query component times level) are
+added to accumulators in that order, STEP dimensions at a time as one matrix product. A candidate's score can't differ from its
+accumulator by more than the norms of the query and the candidate in what is still open allow (Cauchy-Schwarz). A query's
+processing stops only when those bounds prove that few candidates can be members of the
 top k, or when nothing is open; all possible members are then rescored exactly, in integers.
 
 Queries are met with all rows in blocks: every row lies in one block of bounded size, which is indexed once, and
@@ -33,59 +33,77 @@ from .vectors import matrix, usable
 LEVEL = 16
 CANDIDATES = 8_192
 FEW = 48
+#: Dimensions that are added between two proofs.
+STEP = 256
+#: Candidates of which only the best one counts when the k-th score is bounded.
+FOLD = 32
+#: Queries that are met with a block at once, and pairs that are rescored at once.
+QUERIES, RESCORED = 256, 65_536
 #: Up to this size of its components the inner product of two vectors of up to 2,048 components fits a long, and a double.
 LARGE = 1 << 20
 
 
 class ImpactIndex:
-    """Impact-ordered segments of a block of integer vectors."""
+    """Impact-ordered planes of a block of integer vectors: levels, then what rounding took from them, large dimensions first."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        level = np.rint(x / LEVEL).astype(np.int64)
-        self.error = np.linalg.norm(x - LEVEL * level, axis=1)
-        dims, values, self.segments = [], [], []
-        for d in range(x.shape[1]):
-            order = np.argsort(level[:, d], kind="stable")
-            value, start = np.unique(level[order, d], return_index=True)
-            for v, s, e in zip(value, start, [*start[1:], len(order)]):
-                if v:  # level 0 has no impact
-                    dims.append(d)
-                    values.append(v * LEVEL)
-                    self.segments.append(order[s:e])
-        self.dims, self.values = np.array(dims, np.int64), np.array(values, np.float64)
+        level = LEVEL * np.rint(x / LEVEL)
+        self.order = np.argsort(-(level * level).sum(0), kind="stable")
+        planes = level[:, self.order], (x - level)[:, self.order]
+        self.norm = max((np.linalg.norm(p, axis=1).max(initial=0) for p in (x.astype(float), planes[0])), default=0.0)
+        # sums of whole numbers below 2 ** 24 are exact in floats
+        self.planes = {t: [np.ascontiguousarray(p.T, t) for p in planes] for t in (np.float32, np.float64)}
+        # norm of the largest row in the dimensions from each one on
+        self.rest = [np.sqrt(np.append(np.cumsum((p * p)[:, ::-1], axis=1).max(axis=0, initial=0)[::-1], 0)) for p in planes]
 
     def top(self, q: np.ndarray, k: int, ids: np.ndarray, rows: np.ndarray, own: int) -> list[tuple[int, int]]:
         """(id, score) of the k best rows but `own`, by score, then id."""
-        allowed = rows != own
-        if not allowed.any():
-            return []
-        impact = q[self.dims] * self.values if len(self.dims) else np.zeros(0)
-        order = np.argsort(-np.abs(impact), kind="stable")
-        order = order[impact[order] != 0]
-        acc = np.zeros(len(ids))
-        err = np.linalg.norm(q) * self.error
-        acc[~allowed] = -np.inf
-        size = np.abs(impact)
-        k = min(k, int(allowed.sum()))
-        step, at, possible = max(32, len(order) // 10), 0, np.flatnonzero(allowed)
-        while at < len(order):
-            for s in order[at : at + step]:
-                acc[self.segments[s]] += impact[s]
-            at += step
-            left = np.zeros(self.x.shape[1])
-            np.maximum.at(left, self.dims[order[at:]], size[order[at:]])
-            # a candidate has one segment in a dimension: open ones bound what it can still get
-            room = left.sum() + err
-            low = acc - room
-            floor = np.partition(low, len(low) - k)[len(low) - k]
-            possible = np.flatnonzero(acc + room >= floor - 1e-6 - 1e-12 * room.max())
-            if len(possible) <= FEW:
+        _, i, s = self.tops(q[None, :], k, ids, rows, np.array([own]))
+        return [(int(a), int(b)) for a, b in zip(i, s)]
+
+    def tops(self, q: np.ndarray, k: int, ids: np.ndarray, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, id and score of each query's k best rows but its own, by query, score and id."""
+        n, width = self.x.shape
+        sizes = np.linalg.norm(q, axis=1)
+        kind = np.float32 if sizes.max(initial=0) * self.norm < 1 << 24 else np.float64
+        slop = 1e-6 + width * 2.0**-52 * sizes * self.norm
+        sent = np.ascontiguousarray(q[:, self.order], kind)
+        acc = np.zeros((len(q), n), kind)
+        place = np.argsort(rows, kind="stable")
+        at = np.searchsorted(rows, own, sorter=place).clip(max=n - 1)
+        mine = rows[place[at]] == own if n else np.zeros(len(q), bool)
+        acc[np.flatnonzero(mine), place[at[mine]]] = -np.inf
+        found_q, found_c = [], []
+        live = np.arange(len(q))  # queries with too many possible members
+        for plane, lo in [(p, lo) for p in (0, 1) for lo in range(0, width, STEP)]:
+            hi = min(lo + STEP, width)
+            acc += sent[live, lo:hi] @ self.planes[kind][plane][lo:hi]
+            last = plane == 1 and hi == width
+            # what is open in this plane and in the next one bounds what a candidate can still get or lose
+            room = np.linalg.norm(sent[live, hi:].astype(float), axis=1) * self.rest[plane][hi] + (sizes[live] * self.rest[1][0] if plane == 0 else 0)
+            fold = FOLD if n >= 2 * FOLD * k else 1
+            # the k-th best of groups' best is no better than the k-th best
+            best = acc[:, : n // fold * fold].reshape(len(live), fold, n // fold).max(axis=1) if fold > 1 else acc
+            floor = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k].astype(float) if best.shape[1] >= k else np.full(len(live), -np.inf)
+            possible = acc >= np.maximum(floor - 2 * room - slop[live], np.finfo(kind).min)[:, None]
+            done = np.full(len(live), True) if last else possible.sum(axis=1) <= FEW
+            a, c = np.nonzero(possible[done])
+            found_q.append(live[done][a])
+            found_c.append(c)
+            live, acc = live[~done], acc[~done]
+            if not len(live):
                 break
-        possible = possible[allowed[possible]]
-        exact = self.x[possible] @ q.astype(np.int64)
-        best = np.lexsort((ids[possible], -exact))[:k]
-        return [(int(ids[possible[b]]), int(exact[b])) for b in best]
+        qi, ci = np.concatenate(found_q), np.concatenate(found_c)
+        whole = q.astype(np.int64)
+        exact = np.zeros(len(qi), np.int64)
+        for lo in range(0, len(qi), RESCORED):
+            some = slice(lo, lo + RESCORED)
+            exact[some] = (self.x[ci[some]] * whole[qi[some]]).sum(axis=1)
+        order = np.lexsort((ids[ci], -exact, qi))
+        qi, ci, exact = qi[order], ci[order], exact[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        return qi[keep], ids[ci[keep]], exact[keep]
 
 
 class Block:
@@ -97,11 +115,17 @@ class Block:
         self.rows, self.ids, self.index = rows[~big], ids[~big], ImpactIndex(x[~big].astype(np.int64))
         self.big = rows[big], ids[big], x[big]
 
-    def top(self, q: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
-        if np.abs(q).max(initial=0) > LARGE:
-            return _exact(q, k, own, *self.all)
-        best = self.index.top(q, k, self.ids, self.rows, own)
-        return best if not len(self.big[0]) else sorted(best + _exact(q, k, own, *self.big), key=lambda b: (-b[1], b[0]))[:k]
+    def tops(self, q: np.ndarray, k: int, own: np.ndarray) -> list[tuple[int, int, int]]:
+        """(number of the query, id, score) of each query's k best rows but its own."""
+        large = np.abs(q).max(axis=1, initial=0) > LARGE
+        out = [(i, *b) for i in np.flatnonzero(large) for b in _exact(q[i], k, own[i], *self.all)]
+        small = np.flatnonzero(~large)
+        if len(small) and len(self.rows):
+            for lo in range(0, len(small), QUERIES):
+                part = small[lo : lo + QUERIES]
+                out += [(part[i], a, s) for i, a, s in zip(*(x.tolist() for x in self.index.tops(q[part], k, self.ids, self.rows, own[part])))]
+        # the best k of both kinds are told apart by the rank over all blocks
+        return out + [(i, *b) for i in small for b in _exact(q[i], k, own[i], *self.big)] if len(self.big[0]) else out
 
 
 def _exact(q: np.ndarray, k: int, own: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> list[tuple[int, int]]:
@@ -144,8 +168,8 @@ def search(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
                     here = Block(*(np.concatenate(p) for p in zip(*parts)))
                 out = []
                 if here is not None:
-                    for row, own, q in zip(x["row"], x["vec_id"], quantise(matrix(x["v"].tolist(), width))):
-                        out += [(row, own, i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in here.top(q, k, row)]
+                    row, own = x["row"].to_numpy(), x["vec_id"].to_numpy()
+                    out = [(row[n], own[n], i, max(-(1 << 63), min((1 << 63) - 1, s))) for n, i, s in here.tops(quantise(matrix(x["v"].tolist(), width)), k, row)]
                 yield pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     met = cand.unionByName(quer).repartition("block").sortWithinPartitions("block", "role")

@@ -620,3 +620,21 @@ def test_a_hot_bucket_of_unlinked_members_is_split(spark):
     comp = {r.node: r.root for r in common.components(links).collect()}
     assert {comp[i] for i in range(99_990, 100_000)} == {99_990} and len(comp) == 10
     assert sum(seen) < 6 * 100_000
+
+
+def test_impact_batches_agree_and_are_fast(monkeypatch):
+    """A batch of queries against one block; ties, own rows, wide and large vectors."""
+    rng = np.random.default_rng(8)
+    for top, width, step in ((40, 64, 256), (3, 5, 2), (1 << 20, 70, 16)):
+        monkeypatch.setattr(impact, "STEP", step)
+        x = rng.integers(-top, top, (2000, width)) // rng.integers(1, 9, width)
+        ids, rows = rng.permutation(2000), rng.permutation(2000)
+        n, i, s = impact.ImpactIndex(x).tops(x[:100].astype(float), 5, ids, rows, rows[:100])
+        scores = x[:100] @ x.T
+        want = [(q, ids[j], scores[q, j]) for q in range(100) for j in sorted((j for j in range(2000) if j != q), key=lambda j: (-scores[q, j], ids[j]))[:5]]
+        assert list(zip(n, i, s)) == want
+    x = np.floor(rng.normal(0, 32, (8192, 64))).astype(np.int64)
+    index = impact.Block(np.arange(8192), np.arange(8192), x.astype(float))
+    began = time.time()
+    assert len(index.tops(x[:1000].astype(float), 5, np.arange(1000))) == 5000
+    assert time.time() - began < 5
