@@ -107,11 +107,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 #: Members from which a bucket's rest is not compared as it is, but split by a second key.
 HOT = 512
+#: Members of a large bucket that meet in one part of it.
+PART = 4096
 #: Pairs that are always few enough to be compared at once.
 FEW = 200_000
 
 
-def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], name: str = "link", meets: str = "true", star_rounds: int = 3, slack: int = 128, depth: int = 0) -> DataFrame:
+def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], name: str = "link", meets: str = "true", star_rounds: int = 3, slack: int = 128, depth: int = 0, whole: bool = False, band: str | None = None) -> DataFrame:
     """Verified links (a < b) that connect what shares a bucket and passes verify.
 
     members: (key, id), also repeatedly, ids comparable longs, and mark, unless describe makes that. describe: (id, mark) of
@@ -121,7 +123,10 @@ def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFram
     Then only members outside their bucket's largest component are tested against the rest of the bucket,
     so that every pair between different components is tested: the components are exactly those of all
     linked pairs. If such rest work would exceed `slack` times the members, another star round goes first,
-    `star_rounds` of them at most. A bucket of more than HOT members that still has such a rest is split: its
+    `star_rounds` of them at most, and with `whole` further ones as long as each halves that work. With `whole` that is all:
+    the rest of every bucket is compared, whatever its size, in parts of PART members, and within neighbouring values of
+    band if that is given: SQL on mark, a whole number that differs by one at most between linked members.
+    Without `whole` pairs that only share one key may be lost. A bucket of more than HOT members that still has such a rest is split: its
     members meet where they share a second key too (and a third one at depth 2), which similar members do and
     members that only share one common key don't; so the pairs grow with the members, not with their square.
     """
@@ -134,7 +139,7 @@ def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFram
     live = materialise(live, f"{name}-members")
     discard(bare, shared)
     total = live.count()
-    links, tested, comp = None, None, None
+    links, tested, comp, before = None, None, None, None
     r = 0
     side = lambda c: F.struct("mark").alias(c)
     pair = lambda other: [F.least(other, "id").alias("a"), F.greatest(other, "id").alias("b")]
@@ -155,11 +160,24 @@ def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFram
             hot = (F.col("n") > HOT) & (F.col("rest") > slack)
             small = work["w"] <= max(slack * total, FEW)
             # with three keys in common, stars go on as long as they link anything
-            if small or r >= star_rounds and (depth < 2 or found.isEmpty()):
-                split = not small and depth < 2 and (work["hot"] or 0) > HOT
+            pays, before = before is None or 2 * work["w"] <= before, work["w"]
+            if small or r >= star_rounds and (not pays if whole else depth < 2 or found.isEmpty()):
+                split = not small and not whole and depth < 2 and (work["hot"] or 0) > HOT
                 here = main.where(~hot) if split else main
-                outside = marked.join(here.select("key", "main"), "key").where("c <> main").select("key", F.col("id").alias("other"), F.col("c").alias("cx"), side("x"))
-                todo = outside.join(marked.select("key", "id", "c", side("y")), "key").where("c <> cx").where(meets).select(*pair("other")).distinct()
+                outside = marked.join(here.select("key", "main", "n"), "key").where("c <> main").select("key", "n", "main", F.col("id").alias("other"), F.col("c").alias("cx"), side("x"))
+                every = marked.select("key", "id", "c", side("y"))
+                on = ["key"]
+                if not small:  # no task meets a large bucket alone
+                    parts = F.ceil(F.col("n") / PART).cast("int")
+                    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+                    every = every.join(here.select("key", "n"), "key").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("n")
+                    on.append("part")
+                    if band:
+                        outside = outside.select("*", F.expr(band.replace("mark", "x.mark")).cast("int").alias("at")).withColumn("band", F.explode(F.expr("array(at - 1, at, at + 1)"))).drop("at")
+                        every = every.withColumn("band", F.expr(band.replace("mark", "y.mark")).cast("int"))
+                        on.append("band")
+                # of two members outside the main component only one goes to meet the other
+                todo = outside.join(every, on).where("c <> cx and (c = main or other < id)").where(meets).select(*pair("other")).distinct()
                 links = links.unionByName(materialise(verify(todo.join(tested, ["a", "b"], "left_anti")), f"{name}-links"))
                 if split:
                     first = marked.join(main.where(hot).select("key"), "key").select("id", F.col("key").alias("k1"), "mark")

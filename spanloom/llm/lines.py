@@ -14,7 +14,8 @@ necessary conditions (lengths, numbers of words that the other lacks), then veri
 similarity of 0.8 two lines' SimHashes differ in 13 of 64 bits on average, and blocks of bits that let such pairs meet
 let all lines meet.
 
-Buckets never emit all their pairs (see common.link_in_buckets), yet groups are those of all pairs found.
+Buckets never emit all their pairs (see common.link_in_buckets), yet groups are those of all similar pairs that share a key,
+however many lines share it.
 Blank lines (without letter or digit) are always kept. Null texts have no lines, empty tables no rows; lines may be of
 any length. Ties in (doc_id, line) are rows that repeat a doc_id: with the same text they are the same occurrence and
 are treated alike, with other texts the smaller (doc_id, line) still leads. Columns other than doc_id and text pass
@@ -23,6 +24,8 @@ through `dedup` untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +145,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return trimmed(both, "ta", "tb").where(F.expr("levenshtein(ta, tb, most)") >= 0).select("a", "b")
 
     members = keyed.where("h is not null").select(F.col("h").alias("id"), F.explode("keys").alias("key"))
-    links = link_in_buckets(members, describe, verify, "lines", may_be_like("x.mark", "y.mark", similarity))
+    # lengths of similar lines differ by a factor of 1 / similarity at most; a little more, so that rounding parts none
+    band = f"floor(ln(mark.n) / {-math.log(similarity - 0.01)!r}D)"
+    links = link_in_buckets(members, describe, verify, "lines", may_be_like("x.mark", "y.mark", similarity), whole=True, band=band)
     rows = materialise(keyed.select("doc_id", "rk", "line", "h", "h2"), "lines-rows")
     discard(keyed)
     comp = materialise(components(links, "lines-cc"), "lines-comp")

@@ -622,6 +622,34 @@ def test_a_hot_bucket_of_unlinked_members_is_split(spark):
     assert sum(seen) < 6 * 100_000
 
 
+def lines_with_one_key_in_common(pairs):
+    """Pairs of lines of 25 words of which five are edited; all lines share their first block, and no two any other key."""
+    r, rows = random.Random(5), []
+    for g in range(pairs):
+        a = [f"{r.randrange(100, 1000)}" for _ in range(25)]
+        a[0], a[1] = "p" * 40, "q" * 40
+        for side in range(2):
+            for at in (2, 6, 10, 14, 18):
+                a[at] = f"{side}x{at}x{g}".ljust(20, "z")
+            rows.append((2 * g + side, " ".join(a)))
+    return rows
+
+
+def test_lines_of_a_hot_bucket_that_share_one_key_only(spark):
+    got = {r.doc_id: r.group_doc_id for r in lines.groups(docs(spark, lines_with_one_key_in_common(400), extra=False)).collect()}
+    assert got == {d: d - d % 2 for d in range(800)}
+
+
+def test_whole_buckets_meet_in_parts_and_bands(spark, monkeypatch):
+    """Every pair of a bucket that passes is linked, whichever parts and bands its members lie in."""
+    monkeypatch.setattr(common, "PART", 100)
+    members = spark.range(3000).selectExpr("7L as key", "id", "named_struct('n', id div 2 + 10) as mark")
+    meets = "abs(x.mark.n - y.mark.n) <= 1 and x.mark.n div 2 <> y.mark.n div 2"
+    verify = lambda p: p.where("(a div 2) % 2 = 1 and b = a + 2")
+    links = common.link_in_buckets(members, None, verify, meets=meets, slack=1, whole=True, band="mark.n div 3")
+    assert sorted(map(tuple, links.distinct().collect())) == [(a, a + 2) for a in range(2998) if a // 2 % 2]
+
+
 def test_impact_batches_agree_and_are_fast(monkeypatch):
     """A batch of queries against one block; ties, own rows, wide and large vectors."""
     rng = np.random.default_rng(8)
