@@ -181,7 +181,7 @@ def link_rows(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
             .mapInPandas(confirm, "a long, b long").distinct()
         )
 
-    links = link_in_buckets(members, describe, verify, "minhash", estimate("x.mark", "y.mark") + f" >= {percent / 100 - SLACK}")
+    links = link_in_buckets(members, describe, verify, "minhash", estimate("x.mark", "y.mark") + f" >= {percent / 100 - SLACK}", whole=True)
     comp = materialise(components(links, "minhash-cc"), "minhash-comp")
     node = reps.select("words", "id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("words", "doc_id", F.coalesce("root", "id").alias("root"))
     node = materialise(node, "minhash-nodes")

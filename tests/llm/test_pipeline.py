@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import minhash
-from tests.llm.test_operators import norm, roots, want_groups
+from tests.llm.test_operators import lines_with_one_key_in_common, norm, roots, want_groups
 
 SF = "/root/testdata/sf0.01"
 
@@ -140,3 +140,8 @@ def test_repeated_ids_with_other_texts_are_told_apart(spark):
     assert got == [(3, 57, 3, True), (7, 56, 3, False), (7, 56, 7, True), (7, 57, 7, True), (8, 57, 7, False)]
     kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
     assert len(kept) == 2 and kept[0] == (3, b + " end") and kept[1][0] == 7 and kept[1][1] in (a, a + " also")
+
+
+def test_line_dedup_compares_hot_buckets_in_full(spark):
+    docs = spark.createDataFrame(lines_with_one_key_in_common(400), "doc_id long, text string")
+    assert sorted(texts(corpus_pipeline.dedup_lines(spark, docs, SF))) == list(range(0, 800, 2))
