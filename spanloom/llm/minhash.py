@@ -2,7 +2,7 @@
 
 A document's set is its distinct k-word shingles as 64-bit hashes. LANES minima give BANDS band keys for
 candidates (at a similarity of 0.8 a pair misses every band with a probability of 3e-6) and, cut to their
-low BITS bits, one packed signature. Candidates whose similarity, estimated from the signatures' equal lanes
+low BITS bits, one packed signature. Candidates whose set sizes are too far apart, or whose similarity, estimated from the signatures' equal lanes
 and corrected for lanes equal by chance, lies more than five standard deviations below the threshold go;
 the others are confirmed on their full sets. Texts of the same words are one candidate. Buckets never emit
 all their pairs (see common.link_in_buckets), yet components are those of all links found.
@@ -33,7 +33,7 @@ SLACK = 0.2
 MEMBERS = 1024
 
 _rng = np.random.default_rng(20240917)
-_MULT = _rng.integers(1 << 62, (1 << 64) - 1, LANES, dtype=np.uint64) | np.uint64(1)
+_MULT = (_rng.integers(1 << 62, (1 << 64) - 1, LANES, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = _rng.integers(1 << 62, (1 << 64) - 1, BANDS, dtype=np.uint64)
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -45,10 +45,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
+    def __missing__(self, w: bytes) -> bytes:
         if len(self) > 500_000:
             self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = self[w] = xxhash.xxh3_64_digest(w)
         return h
 
 
@@ -61,20 +61,23 @@ def shingle_set(words: list[bytes], k: int, cache: _Words) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of fewer words, the hash of all; of none, nothing."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([cache[w] for w in words], np.uint64)
+    h = np.frombuffer(b"".join(map(cache.__getitem__, words)), ">u8").astype(np.uint64)
     n = len(h)
     width = min(k, n)
     acc = h[: n - width + 1].copy()
     for j in range(1, width):
         acc = acc * _P + h[j : n - width + 1 + j]
-    return np.unique(_mix(acc + np.uint64(width)))
+    s = np.sort(_mix(acc + np.uint64(width)))
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(s), 2048):
-        np.minimum(out, np.multiply.outer(s[lo : lo + 2048], _MULT).min(0), out)
-    return out >> np.uint64(32)
+    """The least product with each lane's multiplier, modulo 2 ** 32: mixed hashes are as good in their upper halves."""
+    half = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(LANES, np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(half), 1024):
+        np.minimum(out, np.multiply.outer(half[lo : lo + 1024], _MULT).min(0), out)
+    return out.astype(np.uint64)
 
 
 def signature(low: np.ndarray) -> np.ndarray:
@@ -100,6 +103,11 @@ def estimate(a: str, b: str) -> str:
     return f"((1 - ({differ}) / {float(LANES)}D - {chance}D) / {1 - chance}D)"
 
 
+def may_be_like(x: str, y: str, percent: int) -> str:
+    """Necessary for a link of two marks (signature sig, set size n): sizes allow the similarity, and the estimate lies not far below it."""
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {estimate(f'{x}.sig', f'{y}.sig')} >= {percent / 100 - SLACK}"
+
+
 def text_key():
     """Column: tells texts apart, the same in every run."""
     return F.xxhash64(F.lit(11), F.col("text").cast("string"))
@@ -139,19 +147,19 @@ def link_rows(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
     rows = materialise(sketch(docs, k), "minhash-rows")
     # one node for each sequence of words, found again by the first row that has it
     reps = materialise(
-        rows.where("words is not null and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "tk")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).select(F.xxhash64("words").alias("id"), "words", "at.*", "sig", "bands"), "minhash-reps"
+        rows.where("words is not null and doc_id is not null").groupBy("words").agg(F.min(F.struct("doc_id", "tk")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")).select(F.xxhash64("words").alias("id"), "words", "at.*", "sig", "bands", "n"), "minhash-reps"
     )
     members = reps.select("id", F.explode("bands").alias("key")).distinct()
     texts: list[DataFrame] = []
 
     def describe(ids: DataFrame) -> DataFrame:
-        """Signatures of documents that meet any other; their texts are set apart once, here."""
+        """Signatures and set sizes of documents that meet any other; their texts are set apart once, here."""
         ids = materialise(ids, "minhash-ids")
         at = reps.join(ids, "id", "left_semi").select("doc_id", "tk", "id")
         src = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
         # repeated rows have the same text, whichever is met
         texts.append(materialise(src.join(at, ["doc_id", "tk"]).select("id", "text"), "minhash-texts"))
-        return reps.join(ids, "id", "left_semi").select("id", F.col("sig").alias("mark"))
+        return reps.join(ids, "id", "left_semi").select("id", F.struct("sig", "n").alias("mark"))
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, a, first = _Words(), None, None
@@ -181,7 +189,7 @@ def link_rows(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
             .mapInPandas(confirm, "a long, b long").distinct()
         )
 
-    links = link_in_buckets(members, describe, verify, "minhash", estimate("x.mark", "y.mark") + f" >= {percent / 100 - SLACK}", whole=True)
+    links = link_in_buckets(members, describe, verify, "minhash", may_be_like("x.mark", "y.mark", percent), whole=True)
     comp = materialise(components(links, "minhash-cc"), "minhash-comp")
     node = reps.select("words", "id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("words", "doc_id", F.coalesce("root", "id").alias("root"))
     node = materialise(node, "minhash-nodes")

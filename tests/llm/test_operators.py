@@ -666,3 +666,14 @@ def test_impact_batches_agree_and_are_fast(monkeypatch):
     began = time.time()
     assert len(index.tops(x[:1000].astype(float), 5, np.arange(1000))) == 5000
     assert time.time() - began < 5
+
+
+def test_minhash_sizes_refuse_pairs_before_their_texts_are_read(spark):
+    """Of marks with equal signatures only those whose sizes allow the similarity are confirmed; 80 of 100 is allowed."""
+    sizes = [(79, 100), (80, 100), (100, 80), (100, 79), (5, 5)]
+    df = spark.createDataFrame([({"sig": [1] * minhash.LONGS, "n": a}, {"sig": [1] * minhash.LONGS, "n": b}) for a, b in sizes], "x struct<sig: array<long>, n: long>, y struct<sig: array<long>, n: long>")
+    assert [r[0] for r in df.select(F.expr(minhash.may_be_like("x", "y", 80))).collect()] == [False, True, True, False, True]
+    # the set is what hashing word by word gives
+    text = minhash.words_of(words(3000, 3))
+    want = {int(h) for h in minhash._mix(np.array([(minhash.xxhash.xxh3_64_intdigest(a) * int(minhash._P) + minhash.xxhash.xxh3_64_intdigest(b) + 2) % 2**64 for a, b in zip(text, text[1:])], np.uint64))}
+    assert minhash.shingle_set(text, 2, minhash._Words()).tolist() == sorted(want)
