@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -113,7 +114,7 @@ PART = 4096
 FEW = 200_000
 
 
-def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], name: str = "link", meets: str = "true", star_rounds: int = 3, slack: int = 128, depth: int = 0, whole: bool = False, band: str | None = None) -> DataFrame:
+def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], name: str = "link", meets: str = "true", star_rounds: int = 3, slack: int = 128, depth: int = 0, whole: bool = False, band: str | None = None, at_once: int = 0) -> DataFrame:
     """Verified links (a < b) that connect what shares a bucket and passes verify.
 
     members: (key, id), also repeatedly, ids comparable longs, and mark, unless describe makes that. describe: (id, mark) of
@@ -129,7 +130,24 @@ def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFram
     Without `whole` pairs that only share one key may be lost. A bucket of more than HOT members that still has such a rest is split: its
     members meet where they share a second key too (and a third one at depth 2), which similar members do and
     members that only share one common key don't; so the pairs grow with the members, not with their square.
+    With `at_once`, which asks for a few repeated members only, all pairs of all buckets are held against meets and verify
+    at once, without stars, as long as they are no more than at_once times the members.
     """
+    if at_once:
+        # members are shuffled once: what stands alone under its key is seen where it has come to
+        met = members.repartition("key").withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
+        bare = materialise(met.dropDuplicates(["key", "id"]).select("key", "id", "n"), f"{name}-bare")
+        work = bare.agg(F.count("*").alias("k"), F.sum(F.col("n") - 1).alias("w")).first()
+        live = bare if describe is None else bare.join(describe(bare.select("id").distinct()), "id")
+        if (work["w"] or 0) <= 2 * at_once * work["k"]:
+            todo = live.alias("x").join(live.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and ({meets})")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            todo = materialise(todo, f"{name}-todo")
+            links = materialise(verify(todo), f"{name}-links")
+            discard(bare, todo)
+            return links
+        live = materialise(live, f"{name}-members")
+        discard(bare)
+        return _stars(live, verify, name, meets, star_rounds, slack, depth, whole, band)
     # keys of two ids or more, by partial sums that don't grow with repeated members
     shared = members.groupBy("key").agg(F.min(F.hash("id")).alias("lo"), F.max(F.hash("id")).alias("hi")).where("lo <> hi").select("key")
     shared = materialise(shared, f"{name}-buckets")
@@ -138,6 +156,11 @@ def link_in_buckets(members: DataFrame, describe: Callable[[DataFrame], DataFram
     live = live if describe is None else live.join(describe(bare.select("id").distinct()), "id")  # the mark comes last: it is wide
     live = materialise(live, f"{name}-members")
     discard(bare, shared)
+    return _stars(live, verify, name, meets, star_rounds, slack, depth, whole, band)
+
+
+def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, meets: str, star_rounds: int, slack: int, depth: int, whole: bool, band: str | None) -> DataFrame:
+    """The rounds of link_in_buckets over live: key, id, n (the bucket's members), mark; live is discarded."""
     total = live.count()
     links, tested, comp, before = None, None, None, None
     r = 0

@@ -14,7 +14,7 @@ necessary conditions (lengths, numbers of words that the other lacks), then veri
 similarity of 0.8 two lines' SimHashes differ in 13 of 64 bits on average, and blocks of bits that let such pairs meet
 let all lines meet.
 
-Buckets never emit all their pairs (see common.link_in_buckets), yet groups are those of all similar pairs that share a key,
+Buckets emit all their pairs only while these are few (see AT_ONCE and common.link_in_buckets), yet groups are those of all similar pairs that share a key,
 however many lines share it.
 Blank lines (without letter or digit) are always kept. Null texts have no lines, empty tables no rows; lines may be of
 any length. Ties in (doc_id, line) are rows that repeat a doc_id: with the same text they are the same occurrence and
@@ -29,11 +29,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, link_in_buckets, materialise
+from .common import SMALL, components, discard, link_in_buckets, materialise
 
 SIMILARITY = 0.8
-#: Blocks of a line that are its join keys.
+#: Blocks of a line that are its join keys, at most.
 KEYS = 10
+#: Pairs for each line in buckets up to which all are compared at once.
+AT_ONCE = 32
 
 
 def words_of(line: Column) -> Column:
@@ -42,34 +44,33 @@ def words_of(line: Column) -> Column:
 
 
 def coded(codes: str) -> Column:
-    """A string with one character for each 20-bit code of a word: edits of words are edits of characters."""
-    units = F.transform(codes, lambda c: F.lpad(F.hex(c + F.lit(0x10000)), 8, "0"))
+    """A string with one character for the 20 hash bits of each word: edits of words are edits of characters."""
+    units = F.transform(codes, lambda c: F.lpad(F.hex(c.bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0x10000)), 8, "0"))
     return F.decode(F.unhex(F.array_join(units, "")), "UTF-32")
 
 
-def bitmap(half: int) -> Column:
-    """Half of the 128 bits that a line's word codes w set."""
-    return F.expr(f"aggregate(w, 0L, (acc, x) -> if((x >> 6 & 1) = {half}, acc | shiftleft(1L, x & 63), acc))")
-
-
 def row_key() -> Column:
     """Tells rows with the same doc_id and other texts apart."""
     return F.xxhash64(F.lit(3), "doc_id", "text")
 
 
-def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs without the ends that both texts share, found by bisection: they add nothing to an edit distance."""
+def let(value: str, name: str, body: str) -> str:
+    """SQL: body with name bound to a value that is computed once, however often body has the name and wherever a filter is pushed."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
 
-    def shared(end: str) -> str:
+def distance(a: str, b: str, most: str) -> str:
+    """SQL: the edit distance of two texts, -1 beyond most. Ends that both share are cut off first, by bisection: they add nothing."""
+
+    def shared(end: str, t: str) -> str:
         mid = "cast((x.lo + x.hi + 1) div 2 as int)"
-        room = f"least(length({a}), length({b}))"
-        step = f"if(x.lo >= x.hi, x, if({end}({a}, {mid}) = {end}({b}, {mid}), named_struct('lo', {mid}, 'hi', x.hi), named_struct('lo', x.lo, 'hi', {mid} - 1)))"
+        room = f"least(length({t}.a), length({t}.b))"
+        step = f"if(x.lo >= x.hi, x, if({end}({t}.a, {mid}) = {end}({t}.b, {mid}), named_struct('lo', {mid}, 'hi', x.hi), named_struct('lo', x.lo, 'hi', {mid} - 1)))"
         return f"aggregate(sequence(0, cast(ceil(log2({room} + 1)) as int)), named_struct('lo', 0, 'hi', {room}), (x, i) -> {step}).lo"
 
-    out = pairs.withColumn("_n", F.expr(shared("left")))
-    out = out.withColumns({a: F.expr(f"substring({a}, _n + 1)"), b: F.expr(f"substring({b}, _n + 1)")})
-    out = out.withColumn("_n", F.expr(shared("right")))
-    return out.withColumns({c: F.expr(f"left({c}, length({c}) - _n)") for c in (a, b)}).drop("_n")
+    inner = let(shared("right", "u"), "back", f"levenshtein(left(u.a, length(u.a) - back), left(u.b, length(u.b) - back), {most})")
+    inner = let(shared("left", "t"), "front", let("named_struct('a', substring(t.a, front + 1), 'b', substring(t.b, front + 1))", "u", inner))
+    return let(f"named_struct('a', {a}, 'b', {b})", "t", inner)
 
 
 def lost(n: str, similarity: float) -> str:
@@ -81,10 +82,15 @@ def lost(n: str, similarity: float) -> str:
 COUNTED = 30_000
 
 
-def counters() -> Column:
-    """Four 16-bit counters of words by the last bits of their codes; null unless most words of the line w are repeated ones."""
-    count = F.expr("aggregate(w, 0L, (acc, x) -> acc + shiftleft(1L, 16 * (x & 3)))")
-    return F.when(F.expr(f"2 * size(array_distinct(w)) < size(w) and size(w) <= {COUNTED}"), count)
+def marks_of(texts: DataFrame) -> DataFrame:
+    """id, mark of lines h with codes w and counted (see below): n words, halves b0 and b1 of the 128 bits that their codes set, and c, four 16-bit counters
+    of words by the last bits of their codes; c is null unless most words of the line are repeated ones. By aggregation, not by
+    functions of arrays: those are interpreted word by word.
+    """
+    half = lambda k: F.bit_or(F.expr(f"if((x >> 6 & 1) = {k}, shiftleft(1L, x & 63), 0L)")).alias(f"b{k}")
+    counts = F.sum(F.expr("if(counted, shiftleft(1L, 16 * (x & 3)), 0L)"))
+    out = texts.select("h", "counted", F.explode("w").alias("x")).groupBy("h", "counted").agg(F.count("*").cast("int").alias("n"), half(0), half(1), counts.alias("c"))
+    return out.select(F.col("h").alias("id"), F.struct("n", "b0", "b1", F.when(F.col("counted"), F.col("c")).alias("c")).alias("mark"))
 
 
 def may_be_like(x: str, y: str, similarity: float) -> str:
@@ -100,22 +106,24 @@ def may_be_like(x: str, y: str, similarity: float) -> str:
 
 
 def line_keys(docs: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, rk, line, h, h2, n (words), keys of every line; blank lines have no h."""
+    """doc_id, rk, line, h, h2, n (words), keys, w (codes of the words, if it has keys) of every line; blank lines have no h."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t = t.select("doc_id", row_key().alias("rk"), F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw")).select("doc_id", "rk", "line", words_of(F.col("raw")).alias("words"))
     hashed = lambda seed: F.when(F.size("words") > 0, F.xxhash64(F.lit(seed), "words"))
     t = t.select("doc_id", "rk", "line", "words", hashed(0).alias("h"), hashed(1).alias("h2"), F.size("words").alias("n"))
-    # seven bits of length, the longer the smaller, and 56 of the hash
-    block = "shiftleft(cast(127 - least(octet_length(a) + octet_length(b), 127) as bigint), 56) | shiftrightunsigned(xxhash64(a, b), 8)"
-    blocks = f"zip_with(slice(words, 1, n - 1), slice(words, 2, n - 1), (a, b) -> {block})"
+    # a word's code is six bits of length and 20 of its hash; a block is the codes' sum (the longer the smaller) and the second code,
+    # which is short, for it is interpreted, and never null, so that arrays of it are sorted as plain longs
+    codes = F.transform("words", lambda w: F.shiftleft(F.least(F.octet_length(w), F.lit(63)), 20).bitwiseOR(F.pmod(F.xxhash64(F.lit(9), w), F.lit(1 << 20)).cast("int")))
+    blocks = "zip_with(slice(w, 1, n - 1), slice(w, 2, n - 1), (a, b) -> coalesce(-(shiftleft(cast(a + b as bigint), 26) | b), 0L))"
     # only a line from which a similar one may differ has keys
-    differs = f"n > 1 and {lost(f'floor(n / {similarity!r}D + 1e-9D)', similarity)} > 0"
-    t = t.select("doc_id", "rk", "line", "h", "h2", "n", F.expr(f"if({differs}, sort_array({blocks}), cast(array() as array<bigint>))").alias("all"))
-    t = t.withColumn("each", F.array_distinct("all"))
+    t = t.withColumn("d", F.expr(lost(f"floor(n / {similarity!r}D + 1e-9D)", similarity)))
+    t = t.select("doc_id", "rk", "line", "h", "h2", "n", "d", F.when(F.expr("n > 1 and d > 0"), codes).alias("w"))
+    t = t.withColumn("all", F.expr(f"if(w is not null, sort_array({blocks}), cast(array() as array<bigint>))"))
+    t = t.withColumns({"each": F.array_distinct("all"), "most": F.expr(f"least({KEYS}, 2 * d + 1)")})
     # in a line that goes round in circles a few new words would push all common blocks back: its repeated blocks are keys, too
     again = f"slice(array_distinct(filter(all, (x, i) -> get(all, i - 1) = x)), 1, {KEYS})"
-    keys = f"if(4 * size(each) < 3 * size(all), array_union(slice(each, 1, {KEYS}), {again}), slice(each, 1, {KEYS}))"
-    return t.select("doc_id", "rk", "line", "h", "h2", "n", F.expr(keys).alias("keys"))
+    keys = f"if(4 * size(each) < 3 * size(all), array_union(slice(each, 1, most), {again}), slice(each, 1, most))"
+    return t.select("doc_id", "rk", "line", "h", "h2", "n", F.expr(keys).alias("keys"), "w")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -124,30 +132,40 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = keyed.where("h is not null").groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line", "n")).alias("first"), F.count("*").alias("times")).select("h", "h2", "first.*", "times")
     nodes = materialise(nodes, "lines-nodes")
     texts: list[DataFrame] = []
+    # of repeated lines only the first occurrence meets others
+    again = nodes.where("times > 1").select("h", "h2", F.struct("doc_id", "line").alias("at"))
+    lone = keyed.where("size(keys) > 0").join(F.broadcast(again) if again.count() <= SMALL else again, ["h", "h2"], "left")
+    lone = lone.where(F.col("at").isNull() | (F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("line") == F.col("at.line"))))
+
+    def few(ids: DataFrame) -> DataFrame:
+        """Written ids, one long each, broadcast unless they are too many."""
+        return F.broadcast(ids) if ids.count() <= 2 * SMALL else ids
 
     def describe(ids: DataFrame) -> DataFrame:
-        """Number and bitmap of the words of lines that meet any other; their texts are looked up once, here."""
-        at = nodes.join(ids.withColumnRenamed("id", "h"), "h", "left_semi").groupBy(F.col("doc_id").alias("at_doc")).agg(F.collect_list(F.struct("line", "h")).alias("at"))  # no more than the document's lines
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(at, F.col("doc_id").eqNullSafe(F.col("at_doc")))
-        src = src.select("at", F.split(F.lower("text"), "\n").alias("lines")).select(F.explode(F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.get("lines", x["line"]).alias("raw")))).alias("x"))
-        words = src.select("x.h", words_of(F.col("x.raw")).alias("words")).where(F.xxhash64(F.lit(0), "words") == F.col("h"))
-        words = words.select("h", F.transform("words", lambda w: F.pmod(F.xxhash64(F.lit(9), w), F.lit(1 << 20)).cast("int")).alias("w"))
-        texts.append(materialise(words.select("h", F.size("w").alias("n"), bitmap(0).alias("b0"), bitmap(1).alias("b1"), counters().alias("c"), "w"), "lines-texts"))
-        return texts[0].select(F.col("h").alias("id"), F.struct("n", "b0", "b1", "c").alias("mark"))
+        """Number and bitmap of the words of lines that meet any other."""
+        ids = materialise(ids.withColumnRenamed("id", "h"), "lines-ids")
+        # counted is written, for an explosion would work it out for every word again
+        counted = F.expr(f"2 * size(array_distinct(w)) < size(w) and size(w) <= {COUNTED}").alias("counted")
+        out = materialise(lone.join(few(ids), "h", "left_semi").select("h", "w", counted), "lines-texts")
+        if not out.groupBy("h").count().where("count > 1").isEmpty():  # rows that repeat a document have the same lines
+            out = materialise(out.dropDuplicates(["h"]), "lines-texts")
+        texts.append(out)
+        discard(ids)
+        return marks_of(out)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        words = lambda c: texts[0].select(F.col("h").alias(c), F.col("w").alias(f"w{c}"))
-        both = pairs.join(words("a"), "a").join(words("b"), "b").withColumn("most", F.expr(lost("greatest(size(wa), size(wb))", similarity)))
-        # long lines that met by chance: by their words, before any edit distance
-        both = both.where("size(array_except(wa, wb)) <= most and size(array_except(wb, wa)) <= most")
-        # written, so that the strings are made once, not wherever they are named below
-        both = materialise(both.select("a", "b", "most", coded("wa").alias("ta"), coded("wb").alias("tb")), "lines-near")
-        return trimmed(both, "ta", "tb").where(F.expr("levenshtein(ta, tb, most)") >= 0).select("a", "b")
-
-    members = keyed.where("h is not null").select(F.col("h").alias("id"), F.explode("keys").alias("key"))
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-ids")
+        # each text becomes a string once, not with every pair
+        met = texts[0].join(few(ids), "h", "left_semi").select("h", F.size("w").alias("n"), coded("w").alias("t"))
+        met = materialise(met, "lines-met")
+        words = lambda c: met.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("t").alias(f"t{c}"))
+        both = pairs.join(words("a"), "a").join(words("b"), "b").withColumn("most", F.expr(lost("greatest(na, nb)", similarity)))
+        return both.where(F.expr(distance("ta", "tb", "most")) >= 0).select("a", "b")
+
+    members = lone.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
     # lengths of similar lines differ by a factor of 1 / similarity at most; a little more, so that rounding parts none
     band = f"floor(ln(mark.n) / {-math.log(similarity - 0.01)!r}D)"
-    links = link_in_buckets(members, describe, verify, "lines", may_be_like("x.mark", "y.mark", similarity), whole=True, band=band)
+    links = link_in_buckets(members, describe, verify, "lines", may_be_like("x.mark", "y.mark", similarity), whole=True, band=band, at_once=AT_ONCE)
     rows = materialise(keyed.select("doc_id", "rk", "line", "h", "h2"), "lines-rows")
     discard(keyed)
     comp = materialise(components(links, "lines-cc"), "lines-comp")

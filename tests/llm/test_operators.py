@@ -383,6 +383,34 @@ def test_lines_query_asks_for_all_pairs(spark, tmp_path):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
 
 
+def test_lines_take_few_jobs(spark):
+    """While pairs are few they meet at once: no rounds of stars, components and verification. Rounds that do follow give the same."""
+    sc = spark.sparkContext
+    sc.setJobGroup("lines-jobs", "")
+    got = lines.groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    sc.setJobGroup("others", "")
+    assert got and len(sc.statusTracker().getJobIdsForGroup("lines-jobs")) < 100
+
+
+@pytest.mark.parametrize("at_once", [0, 0.001])
+def test_lines_by_rounds_are_the_same(spark, monkeypatch, at_once):
+    rows = line_docs() + [(1000 + d, t) for d, t in edited_lines()]
+    at = lambda: sorted((r.doc_id, r.line, r.group_doc_id, r.group_line) for r in lines.groups(docs(spark, rows + rows[:5])).collect())
+    want = at()
+    monkeypatch.setattr(lines, "AT_ONCE", at_once)
+    assert at() == want
+
+
+def test_lines_distance(spark):
+    """Of texts with and without shared ends; -1 beyond most. No matter where the filter goes, ends are cut once."""
+    pairs = [("", "", 0), ("abc", "abc", 0), ("abcde", "abXde", 1), ("abc", "abcabc", 3), ("aXbc", "abYc", 2), ("kitten", "sitting", -1), ("aa", "aaa", 1), ("", "abcd", -1)]
+    df = spark.createDataFrame(pairs, "a string, b string, want int").withColumn("most", F.expr("if(want < 0, if(a = '', 3, 2), greatest(want, 1))"))
+    df = df.withColumn("got", F.expr(lines.distance("a", "b", "most")))
+    assert [r.got for r in df.collect()] == [p[2] for p in pairs]
+    plan = df.where("got >= 0").select("a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 1 and plan.count("aggregate(") == 2
+
+
 def test_lines_dedup_keeps_documents(spark):
     rows = line_docs()
     src = docs(spark, rows)
