@@ -132,6 +132,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = keyed.where("h is not null").groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line", "n")).alias("first"), F.count("*").alias("times")).select("h", "h2", "first.*", "times")
     nodes = materialise(nodes, "lines-nodes")
     texts: list[DataFrame] = []
+    rows: list[DataFrame] = []
     # of repeated lines only the first occurrence meets others
     again = nodes.where("times > 1").select("h", "h2", F.struct("doc_id", "line").alias("at"))
     lone = keyed.where("size(keys) > 0").join(F.broadcast(again) if again.count() <= SMALL else again, ["h", "h2"], "left")
@@ -150,7 +151,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if not out.groupBy("h").count().where("count > 1").isEmpty():  # rows that repeat a document have the same lines
             out = materialise(out.dropDuplicates(["h"]), "lines-texts")
         texts.append(out)
-        discard(ids)
+        # what is left to do needs no codes of lines that meet none
+        rows.append(materialise(keyed.select("doc_id", "rk", "line", "h", "h2"), "lines-rows"))
+        discard(ids, keyed)
         return marks_of(out)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -166,15 +169,13 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # lengths of similar lines differ by a factor of 1 / similarity at most; a little more, so that rounding parts none
     band = f"floor(ln(mark.n) / {-math.log(similarity - 0.01)!r}D)"
     links = link_in_buckets(members, describe, verify, "lines", may_be_like("x.mark", "y.mark", similarity), whole=True, band=band, at_once=AT_ONCE)
-    rows = materialise(keyed.select("doc_id", "rk", "line", "h", "h2"), "lines-rows")
-    discard(keyed)
     comp = materialise(components(links, "lines-cc"), "lines-comp")
     discard(*texts)
     placed = nodes.join(comp.withColumnRenamed("node", "h"), "h", "left")
     best = placed.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("best"))
     # lines that stand once and are like no other are their own groups
     keep = placed.where("times > 1 or root is not null").join(best, "root", "left").select("h", "h2", F.coalesce("best", F.struct("doc_id", "line")).alias("best"))
-    out = rows.join(keep, ["h", "h2"], "left").select("doc_id", "rk", "line", F.coalesce("best", F.struct("doc_id", "line")).alias("best"))
+    out = rows[0].join(keep, ["h", "h2"], "left").select("doc_id", "rk", "line", F.coalesce("best", F.struct("doc_id", "line")).alias("best"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("line") == F.col("best.line"))
     return out.select("doc_id", "rk", "line", F.col("best.doc_id").alias("group_doc_id"), F.col("best.line").alias("group_line"), kept.alias("kept"))
 
