@@ -48,11 +48,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: lineage ends there."""
+def materialise(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it again: lineage ends there.
+
+    hashes: df is mostly hashes, for which dictionaries and hard compression don't pay.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    how = {"compression": "lz4_raw", "parquet.enable.dictionary": "false"} if hashes else {"compression": "zstd"}
+    df.write.options(**how).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path  # type: ignore[attr-defined]
     return out
@@ -68,6 +72,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps; else they stay until the driver happens to collect its garbage."""
+    spark._jvm.System.gc()
+
+
 #: Rows of fixed width up to which a side is broadcast (some tens of MB).
 SMALL = 1_000_000
 
@@ -165,7 +174,7 @@ def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str,
     links, tested, comp, before = None, None, None, None
     r = 0
     side = lambda c: F.struct("mark").alias(c)
-    pair = lambda other: [F.least(other, "id").alias("a"), F.greatest(other, "id").alias("b")]
+    pair = lambda other: [F.least(F.col(other), "id").alias("a"), F.greatest(F.col(other), "id").alias("b")]
     while True:
         if comp is None:
             marked = live.withColumn("c", F.col("id"))
@@ -188,7 +197,7 @@ def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str,
                 split = not small and not whole and depth < 2 and (work["hot"] or 0) > HOT
                 here = main.where(~hot) if split else main
                 outside = marked.join(here.select("key", "main", "n"), "key").where("c <> main").select("key", "n", "main", F.col("id").alias("other"), F.col("c").alias("cx"), side("x"))
-                every = marked.select("key", "id", "c", side("y"))
+                every = marked.select("key", "id", "c", "mark")  # as outside reads it, so that it is shuffled once for both
                 on = ["key"]
                 if not small:  # no task meets a large bucket alone
                     parts = F.ceil(F.col("n") / PART).cast("int")
@@ -197,11 +206,14 @@ def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str,
                     on.append("part")
                     if band:
                         outside = outside.select("*", F.expr(band.replace("mark", "x.mark")).cast("int").alias("at")).withColumn("band", F.explode(F.expr("array(at - 1, at, at + 1)"))).drop("at")
-                        every = every.withColumn("band", F.expr(band.replace("mark", "y.mark")).cast("int"))
+                        every = every.withColumn("band", F.expr(band).cast("int"))
                         on.append("band")
                 # of two members outside the main component only one goes to meet the other
-                todo = outside.join(every, on).where("c <> cx and (c = main or other < id)").where(meets).select(*pair("other")).distinct()
-                links = links.unionByName(materialise(verify(todo.join(tested, ["a", "b"], "left_anti")), f"{name}-links"))
+                todo = outside.join(every.alias("y"), on).where("c <> cx and (c = main or other < id)").where(meets).select(*pair("other")).distinct()
+                # verify reads its pairs more than once
+                todo = materialise(todo.join(tested, ["a", "b"], "left_anti"), f"{name}-todo")
+                links = links.unionByName(materialise(verify(todo), f"{name}-links"))
+                discard(todo)
                 if split:
                     first = marked.join(main.where(hot).select("key"), "key").select("id", F.col("key").alias("k1"), "mark")
                     both = first.join(live.select("id", F.col("key").alias("k2")), "id").where("k1 <> k2")
@@ -209,9 +221,11 @@ def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str,
                     links = links.unionByName(link_in_buckets(both, None, verify, name, meets, star_rounds, slack, depth + 1))
                 break
             marked = marked.join(main.select("key"), "key", "left_semi")
-        lead = marked.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r)) if r else F.col("id")).alias("lead"))
-        lead = lead.join(marked.select("key", F.col("id").alias("lead"), F.col("c").alias("lc"), side("y")), ["key", "lead"])
-        todo = marked.select("key", "id", "c", side("x")).join(lead, "key").where("id <> lead and c <> lc").where(meets).select(*pair("lead")).distinct()
+        # one shuffle brings a bucket together: its first member leads
+        first = W.partitionBy("key").orderBy(*([F.xxhash64("id", F.lit(r))] if r else []), "id")
+        led = marked.select("key", "id", "c", "mark", *[F.first(x).over(first).alias(f"lead_{x}") for x in ("id", "c", "mark")])
+        led = led.where("id <> lead_id and c <> lead_c").select("id", "lead_id", side("x"), F.struct(F.col("lead_mark").alias("mark")).alias("y"))
+        todo = led.where(meets).select(*pair("lead_id")).distinct()
         if tested is not None:
             todo = todo.join(tested, ["a", "b"], "left_anti")
         todo = materialise(todo, f"{name}-todo")

@@ -29,18 +29,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, components, discard, link_in_buckets, materialise
+from .common import SMALL, components, discard, link_in_buckets, materialise, sweep
 
 SIMILARITY = 0.8
 #: Blocks of a line that are its join keys, at most.
 KEYS = 10
 #: Pairs for each line in buckets up to which all are compared at once.
-AT_ONCE = 32
+AT_ONCE = 4
 
 
 def words_of(line: Column) -> Column:
-    """Runs of letters and digits of a line in lower case."""
-    return F.array_remove(F.split(line, r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits of a line in lower case. Without the usual ends there are seldom empty ones to be removed."""
+    words = F.split(F.btrim(line, F.lit(" .,;:!?")), r"[^\p{L}\p{N}]+")
+    ends = (F.get(words, F.lit(0)) == "") | (F.get(words, F.size(words) - 1) == "")
+    return F.when(ends, F.array_remove(words, "")).otherwise(words)
 
 
 def coded(codes: str) -> Column:
@@ -73,6 +75,18 @@ def distance(a: str, b: str, most: str) -> str:
     return let(f"named_struct('a', {a}, 'b', {b})", "t", inner)
 
 
+#: Words of a line from which the sets of words are compared before the distance is taken.
+LONG = 64
+
+
+def close(a: str, b: str, words_a: str, words_b: str, most: str) -> str:
+    """SQL: whether the edit distance of two texts is most at most. Their distinct words, where given, refuse what lacks more of the other's: the
+    distance's work grows with the square of the lengths, theirs with the lengths.
+    """
+    lacks = lambda x, y: f"coalesce(size(array_except({x}, {y})), 0) <= {most}"
+    return f"abs(length({a}) - length({b})) <= {most} and {lacks(words_a, words_b)} and {lacks(words_b, words_a)} and {distance(a, b, most)} >= 0"
+
+
 def lost(n: str, similarity: float) -> str:
     """SQL: words of n that a similar line may lack."""
     return f"cast(floor({1 - similarity!r}D * {n} + 1e-9D) as int)"
@@ -83,22 +97,22 @@ COUNTED = 30_000
 
 
 def marks_of(texts: DataFrame) -> DataFrame:
-    """id, mark of lines h with codes w and counted (see below): n words, halves b0 and b1 of the 128 bits that their codes set, and c, four 16-bit counters
+    """id, mark of lines h with codes w and counted (see below): n words, quarters b0 to b3 of the 256 bits that their codes set, and c, four 16-bit counters
     of words by the last bits of their codes; c is null unless most words of the line are repeated ones. By aggregation, not by
     functions of arrays: those are interpreted word by word.
     """
-    half = lambda k: F.bit_or(F.expr(f"if((x >> 6 & 1) = {k}, shiftleft(1L, x & 63), 0L)")).alias(f"b{k}")
+    quarter = lambda k: F.bit_or(F.expr(f"if((x >> 6 & 3) = {k}, shiftleft(1L, x & 63), 0L)")).alias(f"b{k}")
     counts = F.sum(F.expr("if(counted, shiftleft(1L, 16 * (x & 3)), 0L)"))
-    out = texts.select("h", "counted", F.explode("w").alias("x")).groupBy("h", "counted").agg(F.count("*").cast("int").alias("n"), half(0), half(1), counts.alias("c"))
-    return out.select(F.col("h").alias("id"), F.struct("n", "b0", "b1", F.when(F.col("counted"), F.col("c")).alias("c")).alias("mark"))
+    out = texts.select("h", "counted", F.explode("w").alias("x")).groupBy("h", "counted").agg(F.count("*").cast("int").alias("n"), *map(quarter, range(4)), counts.alias("c"))
+    return out.select(F.col("h").alias("id"), F.struct("n", "b0", "b1", "b2", "b3", F.when(F.col("counted"), F.col("c")).alias("c")).alias("mark"))
 
 
 def may_be_like(x: str, y: str, similarity: float) -> str:
-    """Necessary for similarity of two lines with n, b0, b1, c: lengths are near, neither sets more bits that the other lacks than it
+    """Necessary for similarity of two lines with n, b0 to b3, c: lengths are near, neither sets more bits that the other lacks than it
     may lose words, and where both have counters, neither counts more beyond the other's. Kept short, for it is compiled into joins.
     """
     most = lost(f"greatest({x}.n, {y}.n)", similarity)
-    gone = lambda a, b: f"bit_count({a}.b0 & ~{b}.b0) + bit_count({a}.b1 & ~{b}.b1) <= {most}"
+    gone = lambda a, b: " + ".join(f"bit_count({a}.b{k} & ~{b}.b{k})" for k in range(4)) + f" <= {most}"
     at = lambda a, k: f"(shiftrightunsigned({a}.c, {16 * k}) & 65535)"
     # what y counts beyond x is what x counts beyond y and the difference in words
     beyond = " + ".join(f"greatest({at(x, k)} - {at(y, k)}, 0)" for k in range(4)) + f" + greatest({y}.n - {x}.n, 0) <= {most}"
@@ -128,7 +142,7 @@ def line_keys(docs: DataFrame, similarity: float) -> DataFrame:
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, rk, line, group_doc_id, group_line, kept of every line; blank lines are kept and their own group."""
-    keyed = materialise(line_keys(docs, similarity), "lines-keyed")
+    keyed = materialise(line_keys(docs, similarity), "lines-keyed", hashes=True)
     nodes = keyed.where("h is not null").groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line", "n")).alias("first"), F.count("*").alias("times")).select("h", "h2", "first.*", "times")
     nodes = materialise(nodes, "lines-nodes")
     texts: list[DataFrame] = []
@@ -147,23 +161,26 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ids = materialise(ids.withColumnRenamed("id", "h"), "lines-ids")
         # counted is written, for an explosion would work it out for every word again
         counted = F.expr(f"2 * size(array_distinct(w)) < size(w) and size(w) <= {COUNTED}").alias("counted")
-        out = materialise(lone.join(few(ids), "h", "left_semi").select("h", "w", counted), "lines-texts")
+        out = materialise(lone.join(few(ids), "h", "left_semi").select("h", "w", counted), "lines-texts", hashes=True)
         if not out.groupBy("h").count().where("count > 1").isEmpty():  # rows that repeat a document have the same lines
             out = materialise(out.dropDuplicates(["h"]), "lines-texts")
         texts.append(out)
         # what is left to do needs no codes of lines that meet none
         rows.append(materialise(keyed.select("doc_id", "rk", "line", "h", "h2"), "lines-rows"))
         discard(ids, keyed)
+        sweep(docs.sparkSession)
         return marks_of(out)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        sweep(docs.sparkSession)
         ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines-ids")
         # each text becomes a string once, not with every pair
-        met = texts[0].join(few(ids), "h", "left_semi").select("h", F.size("w").alias("n"), coded("w").alias("t"))
+        sets = F.expr(f"if(size(w) > {LONG}, array_distinct(w), null)").alias("s")
+        met = texts[0].join(few(ids), "h", "left_semi").select("h", F.size("w").alias("n"), coded("w").alias("t"), sets)
         met = materialise(met, "lines-met")
-        words = lambda c: met.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("t").alias(f"t{c}"))
+        words = lambda c: met.select(F.col("h").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "t", "s")])
         both = pairs.join(words("a"), "a").join(words("b"), "b").withColumn("most", F.expr(lost("greatest(na, nb)", similarity)))
-        return both.where(F.expr(distance("ta", "tb", "most")) >= 0).select("a", "b")
+        return both.where(close("ta", "tb", "sa", "sb", "most")).select("a", "b")
 
     members = lone.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
     # lengths of similar lines differ by a factor of 1 / similarity at most; a little more, so that rounding parts none

@@ -392,6 +392,52 @@ def test_lines_take_few_jobs(spark):
     assert got and len(sc.statusTracker().getJobIdsForGroup("lines-jobs")) < 100
 
 
+def test_lines_of_a_family_meet_one_line_not_each_other(spark, monkeypatch):
+    """Pairs grow with the lines, not with the square of a family, and verification finds them written."""
+    seen, write = [], common.materialise
+
+    def counted(df, name, **how):
+        out = write(df, name, **how)
+        if name.endswith("-todo"):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialise", counted)
+    rows = [(100 * g + k, words(30, 500 + g) + f" n{k}") for g in range(20) for k in range(40)]
+    got = {r.doc_id: r.group_doc_id for r in lines.groups(docs(spark, rows)).collect()}
+    assert got == {d: d - d % 100 for d, _ in rows}
+    assert sum(seen) < 5 * len(rows)
+
+
+def test_pairs_of_the_rest_are_worked_out_once(spark):
+    """What verify gets is a written table, in every round and in the rest: it may read its pairs more than once."""
+    plans = []
+
+    def verify(pairs):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return pairs.where("b - a <= 2")
+
+    members = spark.range(60).selectExpr("7L as key", "id", "0 as mark")
+    links = common.link_in_buckets(members, None, verify)
+    assert {r.root for r in common.components(links).collect()} == {0}
+    assert len(plans) > 1 and not any("Join" in p for p in plans)
+
+
+def test_lines_close(spark):
+    """As the distance says, with and without sets of words; sets alone refuse what shares no words."""
+    pairs = [("abcde", "abXde", 1), ("abcde", "vwxyz", 4), ("aabb", "bbaa", 2), ("aXbc", "abYc", 2), ("aa", "aaa", 1)]
+    df = spark.createDataFrame(pairs, "a string, b string, most int")
+    sets = df.selectExpr("*", "array_distinct(split(a, '')) as sa", "array_distinct(split(b, '')) as sb", "cast(null as array<string>) as none")
+    got = sets.select(F.expr(lines.distance("a", "b", "most")) >= 0, F.expr(lines.close("a", "b", "sa", "sb", "most")), F.expr(lines.close("a", "b", "none", "none", "most"))).collect()
+    assert [tuple(r) for r in got] == [(x,) * 3 for x in (True, False, False, True, True)]
+
+
+def test_lines_words_without_usual_ends(spark):
+    texts = [" .a, b!? ", "...", "", "-a-", "a", "«a» (b)", "a.b ", " \u00a0a"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(lines.words_of(F.col("t"))).collect()
+    assert [r[0] for r in got] == [["a", "b"], [], [], ["a"], ["a"], ["a", "b"], ["a", "b"], ["a"]]
+
+
 @pytest.mark.parametrize("at_once", [0, 0.001])
 def test_lines_by_rounds_are_the_same(spark, monkeypatch, at_once):
     rows = line_docs() + [(1000 + d, t) for d, t in edited_lines()]
