@@ -180,7 +180,8 @@ def _stars(live: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str,
             marked = live.withColumn("c", F.col("id"))
         else:
             # the only pair of a bucket of two is tested by now
-            placed = live.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "mark", F.coalesce("root", "id").alias("c"))
+            roots = comp.withColumnRenamed("node", "id")
+            placed = live.where("n > 2").join(F.broadcast(roots) if comp.count() <= SMALL else roots, "id", "left").select("key", "id", "mark", F.coalesce("root", "id").alias("c"))
             marked = materialise(placed, f"{name}-marked")
             span = marked.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
             sizes = marked.join(span, "key", "left_semi").groupBy("key", "c").agg(F.count("*").alias("n"))

@@ -103,7 +103,7 @@ def marks_of(texts: DataFrame) -> DataFrame:
     """
     quarter = lambda k: F.bit_or(F.expr(f"if((x >> 6 & 3) = {k}, shiftleft(1L, x & 63), 0L)")).alias(f"b{k}")
     counts = F.sum(F.expr("if(counted, shiftleft(1L, 16 * (x & 3)), 0L)"))
-    out = texts.select("h", "counted", F.explode("w").alias("x")).groupBy("h", "counted").agg(F.count("*").cast("int").alias("n"), *map(quarter, range(4)), counts.alias("c"))
+    out = texts.select("h", "counted", F.explode("w").alias("x")).groupBy("h").agg(F.max("counted").alias("counted"), F.count("*").cast("int").alias("n"), *map(quarter, range(4)), counts.alias("c"))
     return out.select(F.col("h").alias("id"), F.struct("n", "b0", "b1", "b2", "b3", F.when(F.col("counted"), F.col("c")).alias("c")).alias("mark"))
 
 
