@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metaphone import metaphone_keys
+
 WORD_RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 #: Spans that a task gathers before it hands them on.
 FLUSH = 1 << 16
 
 
-def spans_of(df: DataFrame, key: str, text: str, words: bool = False, lines: bool = False, sentences: bool = False) -> DataFrame:
+def spans_of(df: DataFrame, key: str, text: str, words: bool = False, lines: bool = False, sentences: bool = False, wanted: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """key, kind (WORD, LINE, SENT), raw (of words), pos (ordinal of the word), s, e (inclusive byte offsets).
 
+    wanted: only words that pass word_test; their ordinals are those among all words.
+
     One pass over each text in Arrow batches, without a shuffle. As array expressions, running byte offsets cost several
     interpreted calls and an appended array for each run, which was slower.
     """
+    wanted = None if wanted is None else list(wanted)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        keep = None if wanted is None else word_test(wanted)
         # letters and digits of any script; lines; sentences with their closing marks
         kinds = [(k, re.compile(rx)) for k, rx, on in (("WORD", r"[^\W_]+", words), ("LINE", r"[^\n]+", lines), ("SENT", r"[^.!?]+[.!?]*|[.!?]+", sentences)) if on]
         out: list[list] = [[] for _ in range(6)]
@@ -37,18 +46,24 @@ def spans_of(df: DataFrame, key: str, text: str, words: bool = False, lines: boo
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:
                     continue
+                spans = []
+                for kind, rx in kinds:
+                    found = [m.span() for m in rx.finditer(t)]
+                    place = range(len(found))
+                    if keep is not None and kind == "WORD":
+                        place = [n for n, (a, b) in enumerate(found) if keep(t[a:b].lower())]
+                        found = [found[n] for n in place]
+                    if found:
+                        spans.append((kind, found, place))
                 at = None
-                if not t.isascii():
+                if spans and not t.isascii():
                     code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
                     at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
-                for kind, rx in kinds:
-                    found = [m.span() for m in rx.finditer(t)]
-                    if not found:
-                        continue
+                for kind, found, place in spans:
                     out[0] += [k] * len(found)
                     out[1] += [kind] * len(found)
                     out[2] += [t[a:b] for a, b in found] if kind == "WORD" else [None] * len(found)
-                    out[3] += range(len(found))
+                    out[3] += place
                     if at is None:
                         out[4] += [a for a, _ in found]
                         out[5] += [b - 1 for _, b in found]
@@ -65,9 +80,63 @@ def spans_of(df: DataFrame, key: str, text: str, words: bool = False, lines: boo
     return src.mapInArrow(run, f"{key} bigint, kind string, raw string, pos int, s bigint, e bigint")
 
 
-def postings(df: DataFrame, key: str = "rec_id", text: str = "text") -> DataFrame:
-    """rec_id, term, raw, pos (ordinal of the word), s, e."""
-    return spans_of(df, key, text, words=True).select(key, F.lower("raw").alias("term"), "raw", "pos", "s", "e")
+def word_test(wanted: Iterable[tuple[str, str]]) -> Callable[[str], bool]:
+    """Whether a lower-cased word may be among those wanted, pairs of a kind (exact, right, left, infix, glob, phonetic, metaphone) and a text.
+
+    No word is missed; some may pass that the caller's own condition refuses: those of one first letter for Soundex, and words
+    beyond ASCII where Python's and Spark's case mappings might part.
+    """
+    wanted = [(k, w if k == "metaphone" else w.lower()) for k, w in wanted]
+    tests: list[Callable[[str], bool]] = []
+    if exact := frozenset(w for k, w in wanted if k == "exact"):
+        tests.append(exact.__contains__)
+    for kind, w in wanted:
+        if kind == "right":
+            tests.append(lambda x, w=w: x.startswith(w))
+        elif kind == "left":
+            tests.append(lambda x, w=w: x.endswith(w))
+        elif kind == "infix":
+            tests.append(lambda x, w=w: w in x)
+        elif kind == "glob":
+            tests.append(lambda x, m=re.compile(glob_regex(w)).match: m(x) is not None)
+        elif kind == "phonetic":
+            tests.append(lambda x, a=w[:1]: x[:1] == a)
+        elif kind == "metaphone":
+            # a word's keys are worked out once
+            tests.append(lru_cache(1 << 18)(lambda x, keys=frozenset(metaphone_keys(w)): not keys.isdisjoint(metaphone_keys(x))))
+        elif kind != "exact":
+            raise ValueError(kind)
+    if any(k == "glob" or not w.isascii() for k, w in wanted):
+        tests.append(lambda x: not x.isascii())
+    return tests[0] if len(tests) == 1 else lambda x: any(f(x) for f in tests)
+
+
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """term, n: the words of texts counted batch by batch, so that a term has several rows but far fewer than it has postings."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rx, counts = re.compile(r"[^\W_]+"), Counter()
+
+        def flush():
+            b = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["raw", "n"])
+            counts.clear()
+            return b
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                counts.update(rx.findall(t or ""))
+                if len(counts) >= 4 * FLUSH:
+                    yield flush()
+        yield flush()
+
+    return df.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "raw string, n bigint").select(F.lower("raw").alias("term"), "n")
+
+
+def postings(df: DataFrame, key: str = "rec_id", text: str = "text", wanted: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """rec_id, term, raw, pos (ordinal of the word), s, e; wanted: see spans_of."""
+    return spans_of(df, key, text, words=True, wanted=wanted).select(key, F.lower("raw").alias("term"), "raw", "pos", "s", "e")
 
 
 def field_spans(df: DataFrame, key: str = "rec_id", text: str = "text", lines: bool = True, sentences: bool = True) -> DataFrame:

@@ -31,7 +31,7 @@ def or_(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _sides(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     other = b.select("rec_id", *[F.col(c).alias(f"o_{c}") for c in COLUMNS[1:]])
-    return a.select(*COLUMNS).join(other, "rec_id", how)
+    return a.select(*COLUMNS).join(other.hint("merge"), "rec_id", how)
 
 
 def and_(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def and_(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def and_not(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a whose record isn't in b, with a's scores."""
-    return a.select(*COLUMNS).join(b.select("rec_id"), "rec_id", "left_anti")
+    return a.select(*COLUMNS).join(b.select("rec_id").hint("merge"), "rec_id", "left_anti")
 
 
 def xor(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def xor(a: DataFrame, b: DataFrame) -> DataFrame:
 def not_(records: DataFrame, total: int, a: DataFrame) -> DataFrame:
     """Records that aren't in a; each scores sqrt(N - n) / N."""
     n = a.agg(F.count("*")).scalar()
-    out = records.select("rec_id").join(a.select("rec_id"), "rec_id", "left_anti").withColumn("_n", n)
+    out = records.select("rec_id").join(a.select("rec_id").hint("merge"), "rec_id", "left_anti").withColumn("_n", n)
     return out.select("rec_id", (F.sqrt(F.lit(float(total)) - F.col("_n")) / F.lit(float(max(total, 1)))).alias("score"), F.lit(1).cast("bigint").alias("hit_count"), F.lit(1).cast("bigint").alias("aux_count"), F.array().cast(HITS).alias("hits"))
 
 

@@ -13,7 +13,7 @@ from .proximity import containers, exploded, inside
 
 
 def _postings(db: Database, field: str | None) -> DataFrame:
-    p = db.postings.join(db.live.select("rec_id"), "rec_id", "left_semi")
+    p = db.live_postings
     if field is None:
         return p
     hits = inside(p.select("rec_id", "s", "e"), db.fields.where(F.col("field") == field.upper()))
@@ -21,7 +21,9 @@ def _postings(db: Database, field: str | None) -> DataFrame:
 
 
 def dictionary(db: Database, field: str | None = None, where: Column | None = None) -> DataFrame:
-    """term, freq."""
+    """term, freq. where: a condition on the term."""
+    if field is None:
+        return db.frequencies if where is None else db.frequencies.where(where)
     p = _postings(db, field)
     return (p if where is None else p.where(where)).groupBy("term").agg(F.count("*").alias("freq"))
 
@@ -94,7 +96,10 @@ def content_facets(db: Database, ir: DataFrame, field: str) -> DataFrame:
 
 def totals(db: Database) -> DataFrame:
     """words, unique_words, records, deleted."""
-    w = db.postings.agg(F.count("*").alias("words"), F.countDistinct("term").alias("unique_words"))
+    if db.tables is not None and db.whole:
+        w = db.frequencies.agg(F.coalesce(F.sum("freq"), F.lit(0).cast("bigint")).alias("words"), F.count("*").alias("unique_words"))
+    else:
+        w = db.postings.agg(F.count("*").alias("words"), F.countDistinct("term").alias("unique_words"))
     r = db.records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.col("deleted").cast("bigint")), F.lit(0).cast("bigint")).alias("deleted"))
     return w.select(F.lit(1).alias("k"), "*").join(r.select(F.lit(1).alias("k"), "*"), "k").drop("k")
 

@@ -53,7 +53,7 @@ def reduce(ir: DataFrame, n: float = 0) -> DataFrame:
 
 
 def with_records(ir: DataFrame, records: DataFrame, cond: Column) -> DataFrame:
-    return ir.join(records.where(cond).select("rec_id"), "rec_id", "left_semi")
+    return ir.join(records.where(cond).select("rec_id").hint("merge"), "rec_id", "left_semi")
 
 
 def key_matches(glob: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ class Engine:
 
     @property
     def lengths(self) -> DataFrame:
-        return self.db.records.select("rec_id", "length")
+        return self.db.records.select("rec_id", "length").hint("merge")
 
     # -- entry points
 
@@ -66,6 +67,8 @@ class Engine:
             node = expand(node, self.synonyms)
         if self.db.stop_words and all(self._only_stops(t) for t in terms(node)):
             raise QueryError(4)
+        if self.db.tables is not None:
+            self.db.tables.add(w for t in terms(node) for w in self._wanted(t))  # in one pass
         out = self.compile(node)
         if self.method == "cosine_metric":
             out = S.distance_weighted(out)
@@ -73,7 +76,7 @@ class Engine:
 
     def search(self, query: str | Node, sort: str = "score", limit: int | None = None, offset: int = 0) -> DataFrame:
         """Results with their records' metadata, ranked."""
-        out = self.run(query).join(self.db.records, "rec_id")
+        out = self.run(query).join(self.db.records.hint("merge"), "rec_id")
         if self.priority:
             out = S.with_priority(out, self.priority)
         out, by = self._ordered(out, sort)
@@ -136,7 +139,29 @@ class Engine:
         return out.select(*B.COLUMNS)
 
     def _only_live(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.records.select("rec_id"), "rec_id", "left_semi")
+        if self.db.whole and not self.restricted:
+            return rows.where("rec_id is not null")
+        # ids pack so well in files that a table of millions looks small enough to broadcast
+        return rows.join(self.records.select("rec_id").hint("merge"), "rec_id", "left_semi")
+
+    def _wanted(self, t: Term) -> list[tuple[str, str]]:
+        """What a term looks up, as kinds and texts for word_test."""
+        if t.relation or t.field and self.db.types.get(t.field, "string") not in ("string", "text", "any", "isbn"):
+            return []
+        text = self.db.aliases.get(t.text.lower(), t.text)
+        if t.mode in ("left", "infix", "glob", "phonetic", "metaphone"):
+            return [self._pattern(t.mode, text)]
+        words = [w.lower() for w in _WORD.findall(text)]
+        if t.mode in ("phrase", "phrase_right"):
+            joined = [("exact", "".join(words))] if self.join_words else []
+            return [("right" if t.mode == "phrase_right" and k == len(words) - 1 else "exact", w) for k, w in enumerate(words)] + joined
+        if t.mode in ("right", "case_right"):
+            return [("right", text.lower())]
+        return [("exact", w) for w in words] if t.mode == "exact" and len(words) > 1 else [("exact", text.lower())]
+
+    def _pattern(self, mode: str, text: str) -> tuple[str, str]:
+        sounds = mode == "metaphone" or mode == "phonetic" and self.phonetic == "metaphone"
+        return ("metaphone", text) if sounds else (mode, text.lower())
 
     def _term(self, t: Term) -> DataFrame:
         if t.relation:
@@ -145,7 +170,6 @@ class Engine:
         if t.field and t.field in self.db.types and self.db.types[t.field] not in ("string", "text", "any", "isbn"):
             return self._typed(Term(t.text, "typed", t.field, "=", t.weight))
         low = text.lower()
-        p = self.db.postings
         if t.mode in ("phrase", "phrase_right"):
             if self.phrase_limit is not None and self._all_common(text):
                 from .parser import phrase_to_prox
@@ -160,13 +184,13 @@ class Engine:
             words = _WORD.findall(low)
             hits = self._phrase(text, False) if len(words) > 1 else self.db.lookup(low)
         elif t.mode == "right":
-            hits = p.where(F.startswith("term", F.lit(low)))
+            hits = self.db.words("right", low).where(F.startswith("term", F.lit(low)))
         elif t.mode in ("left", "infix", "glob", "phonetic", "metaphone"):
             hits = self._by_dictionary(t.mode, text)
         elif t.mode == "case":
             hits = self.db.lookup(low).where(F.col("raw") == text)
         elif t.mode == "case_right":
-            hits = p.where(F.startswith("term", F.lit(low)) & F.startswith("raw", F.lit(text)))
+            hits = self.db.words("right", low).where(F.startswith("term", F.lit(low)) & F.startswith("raw", F.lit(text)))
         elif t.mode == "exactterm":
             hits = self._exact_term(low)
         else:
@@ -179,13 +203,20 @@ class Engine:
 
     def _all_common(self, text: str) -> bool:
         words = [w.lower() for w in _WORD.findall(text)]
-        freq = self.db.terms if self.db.terms is not None else self.db.postings.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("freq"))
+        freq = self.db.terms
+        if freq is None:
+            p = self.db.postings
+            if self.db.tables is not None:
+                self.db.tables.add([("exact", w) for w in words])
+                p = reduce(DataFrame.unionByName, [self.db.lookup(w) for w in dict.fromkeys(words)])
+            freq = p.where(F.col("term").isin(words)).groupBy("term").agg(F.count("*").alias("freq"))
         found = {r["term"]: r["freq"] for r in freq.where(F.col("term").isin(words)).collect()}  # the phrase's words
         return len(words) > 1 and all(found.get(w, 0) >= self.phrase_limit for w in words)
 
     def _by_dictionary(self, mode: str, text: str) -> DataFrame:
         """Patterns are matched against distinct terms, then joined with the postings."""
-        words = self.db.vocabulary
+        p = self.db.words(*self._pattern(mode, text))
+        words = self.db.vocabulary if self.db.tables is None else p.select("term").distinct()
         low = text.lower()
         if mode == "left":
             good = words.where(F.endswith("term", F.lit(low)))
@@ -200,7 +231,7 @@ class Engine:
             good = words.withColumn("m", metaphone("term")).where(F.arrays_overlap("m", F.array(*[F.lit(k) for k in keys])))
         else:
             good = words.where(F.rlike("term", F.lit("^[a-z]"))).where(F.soundex("term") == F.soundex(F.lit(text)))
-        return self.db.postings.join(good.select("term"), "term", "left_semi")
+        return p.join(good.select("term"), "term", "left_semi")
 
     def _phrase(self, text: str, truncated: bool) -> DataFrame:
         """Consecutive words; the rest of the words is looked for only where the first one is."""
@@ -208,11 +239,11 @@ class Engine:
         if not words:
             raise QueryError(125, text)
         if len(words) == 1:
-            return self.db.postings.where(F.startswith("term", F.lit(words[0]))) if truncated else self.db.lookup(words[0])
+            return self.db.words("right", words[0]).where(F.startswith("term", F.lit(words[0]))) if truncated else self.db.lookup(words[0])
         out = self.db.lookup(words[0]).select("rec_id", "pos", "s", "e")
         for k, w in enumerate(words[1:], 1):
             last = truncated and k == len(words) - 1
-            q = self.db.postings.where(F.startswith("term", F.lit(w))) if last else self.db.lookup(w)
+            q = self.db.words("right", w).where(F.startswith("term", F.lit(w))) if last else self.db.lookup(w)
             q = q.select("rec_id", (F.col("pos") - k).alias("pos"), F.col("e").alias("e2"))
             out = out.join(q, ["rec_id", "pos"]).select("rec_id", "pos", "s", F.col("e2").alias("e"))
         return out
@@ -314,7 +345,7 @@ class Engine:
         if op == "BOOST":
             return U.boost(a, arg)
         if op == "SORTBY":
-            out, by = self._ordered(a.join(self.db.records, "rec_id"), arg)
+            out, by = self._ordered(a.join(self.db.records.hint("merge"), "rec_id"), arg)
             return out.orderBy(*by).select(*B.COLUMNS) if by else a
         if op == "WITHKEY":
             return U.with_records(a, self.records, U.key_matches(arg))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import postings as make_postings
+from ..functions.text import word_counts
+from .scratch import written
 
 #: Folders of the postings table: a term's postings lie in one of them, sorted by term. One for so many bytes of text.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 8, 4096
@@ -39,6 +41,24 @@ def records(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+class WordTables:
+    """Postings of the words that queries ask for: one pass over the texts for those of a query, written once."""
+
+    def __init__(self, texts: DataFrame):
+        self.texts = texts
+        self._made: dict[tuple[str, str], DataFrame] = {}
+
+    def add(self, wanted: Iterable[tuple[str, str]]) -> None:
+        """wanted: see word_test."""
+        new = [w for w in dict.fromkeys(wanted) if w not in self._made]
+        if new:
+            self._made |= dict.fromkeys(new, written(make_postings(self.texts, wanted=new), "words"))
+
+    def of(self, kind: str, text: str) -> DataFrame:
+        self.add([(kind, text)])
+        return self._made[kind, text]
+
+
 @dataclass(frozen=True)
 class Database:
     """records, texts (rec_id, text), postings, fields (rec_id, field, path, s, e) and typed side tables."""
@@ -54,6 +74,10 @@ class Database:
     #: term, freq of all postings, and the number of their folders, once saved
     terms: DataFrame | None = None
     buckets: int = 0
+    #: of a database that isn't saved: tables of the words asked for, instead of all postings
+    tables: WordTables | None = None
+    #: nothing is deleted or left out, so that every posting, span and typed row has a live record
+    whole: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -91,6 +115,25 @@ class Database:
         """term of every distinct one; of a saved database its dictionary is read."""
         return self.terms.select("term") if self.terms is not None else self.postings.select("term").distinct()
 
+    @property
+    def frequencies(self) -> DataFrame:
+        """term, freq over all live records."""
+        if self.tables is None or not self.whole:
+            return self.live_postings.groupBy("term").agg(F.count("*").alias("freq"))
+        n = word_counts(self.texts.where("rec_id is not null"))
+        return (n.where(~F.col("term").isin(sorted(self.stop_words))) if self.stop_words else n).groupBy("term").agg(F.sum("n").alias("freq"))
+
+    @property
+    def live_postings(self) -> DataFrame:
+        return self.postings.where("rec_id is not null") if self.whole else self.postings.join(self.live.select("rec_id").hint("merge"), "rec_id", "left_semi")
+
+    def words(self, kind: str, text: str) -> DataFrame:
+        """Postings among which are all those of a kind (see word_test) and text; the caller's condition tells which."""
+        if self.tables is None:
+            return self.postings
+        p = self.tables.of(kind, text)
+        return p.where(~F.col("term").isin(sorted(self.stop_words))) if self.stop_words else p
+
     def save(self, path: str, mode: str = "error", buckets: int | None = None) -> None:
         """Write the tables; buckets: folders of the postings, by default as many as the texts' size asks for."""
         self.records.write.mode(mode).parquet(f"{path}/records")
@@ -122,14 +165,14 @@ class Database:
 
     def lookup(self, term: str) -> DataFrame:
         """Postings of one whole term; of a saved database only its folder is read."""
-        p = self.postings.where(F.col("term") == term)
+        p = self.words("exact", term).where(F.col("term") == term)
         if self.buckets and "bucket" in self.postings.columns:
             p = p.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(self.buckets)).cast("int"))  # a constant to the optimizer
         return p
 
     def restricted(self, keep: DataFrame) -> Database:
         """Only records whose rec_id is among keep's."""
-        return replace(self, records=self.records.join(keep.select("rec_id").distinct(), "rec_id", "left_semi"))
+        return replace(self, records=self.records.join(keep.select("rec_id").distinct(), "rec_id", "left_semi"), whole=False)
 
 
 @dataclass(frozen=True)

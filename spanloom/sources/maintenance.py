@@ -18,26 +18,26 @@ def append(a: Database, b: Database) -> Database:
     rec = b.records.join(taken, "key", "left").withColumn("key", F.when(F.col("_t"), F.concat("key", F.lit("."), F.col("rec_id").cast("string"))).otherwise(F.col("key"))).drop("_t").select(*a.records.columns)
     both = lambda x, y: x.select(*[c for c in x.columns if c != "bucket"]).unionByName(y.select(*[c for c in y.columns if c != "bucket"]))
     typed = {k: a.typed_table(k).unionByName(b.typed_table(k)) for k in {*a.typed, *b.typed}}
-    return replace(a, records=a.records.unionByName(rec), texts=both(a.texts, b.texts), postings=both(a.postings, b.postings), fields=both(a.fields, b.fields), typed=typed, types={**b.types, **a.types})
+    return replace(a, tables=None, whole=False, records=a.records.unionByName(rec), texts=both(a.texts, b.texts), postings=both(a.postings, b.postings), fields=both(a.fields, b.fields), typed=typed, types={**b.types, **a.types})
 
 
 def delete(db: Database, keys: DataFrame, undo: bool = False) -> Database:
     """Marks records by key."""
     k = keys.select("key").distinct().withColumn("_k", F.lit(True))
     rec = db.records.join(k, "key", "left").withColumn("deleted", F.when(F.col("_k"), F.lit(not undo)).otherwise(F.col("deleted"))).drop("_k")
-    return replace(db, records=rec.select(*db.records.columns))
+    return replace(db, whole=False, records=rec.select(*db.records.columns))
 
 
 def expire(db: Database, now: datetime) -> Database:
     """Marks records whose date of expiry has passed."""
-    return replace(db, records=db.records.withColumn("deleted", F.col("deleted") | F.coalesce(F.col("date_expires") <= F.lit(now), F.lit(False))))
+    return replace(db, whole=False, records=db.records.withColumn("deleted", F.col("deleted") | F.coalesce(F.col("date_expires") <= F.lit(now), F.lit(False))))
 
 
 def collapse(db: Database) -> Database:
     """Only what belongs to records that aren't deleted."""
     ids = db.live.select("rec_id")
     keep = lambda t: t.join(ids, "rec_id", "left_semi")
-    return replace(db, records=db.live, texts=keep(db.texts), postings=keep(db.postings), fields=keep(db.fields), typed={k: keep(t) for k, t in db.typed.items()})
+    return replace(db, tables=None, records=db.live, texts=keep(db.texts), postings=keep(db.postings), fields=keep(db.fields), typed={k: keep(t) for k, t in db.typed.items()})
 
 
 def unique_keys(records: DataFrame) -> DataFrame:
