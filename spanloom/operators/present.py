@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import byte_slice
 from ..sources.database import Database
+from ..sources.scratch import written
 from .proximity import containers, exploded
 
 
@@ -146,7 +147,9 @@ def key_lookup(db: Database, key: str) -> DataFrame:
 
 def neighbour_keys(db: Database) -> DataFrame:
     """rec_id, key, previous, next in key order. Ranges of keys go to tasks; each takes its borders from the ranges' ends."""
-    r = db.live.select("rec_id", "key").repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    n = int(db.spark.conf.get("spark.sql.shuffle.partitions"))
+    # written, for the ranges' borders are sampled and small ranges put together at run time: worked out twice, the numbers of the parts may differ
+    r = written(db.live.select("rec_id", "key").repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "ranges")
     w = W.partitionBy("part").orderBy("key", "rec_id")
     r = r.select("rec_id", "key", "part", F.lag("key").over(w).alias("previous"), F.lead("key").over(w).alias("next"))
     ends = r.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))  # one row a task

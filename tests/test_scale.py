@@ -32,6 +32,14 @@ def test_records_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
 
 
+def test_key_neighbours_number_their_ranges_once(spark):
+    rows = spark.range(300).select((F.col("id") * 7 % 300).alias("rec_id"), F.lit("x").alias("text"))
+    got = present.neighbour_keys(Database.build(rows))
+    keys = sorted(str(k) for k in range(300))
+    assert {r.key: (r.previous, r.next) for r in got.collect()} == {k: (keys[i - 1] if i else None, keys[i + 1] if i < 299 else None) for i, k in enumerate(keys)}
+    assert "rangepartitioning" not in plan(got)
+
+
 def test_only_wanted_words_are_written(spark):
     tables._built.clear()
     QUERIES["op_near_n"](spark, SF)
