@@ -40,6 +40,16 @@ def test_key_neighbours_number_their_ranges_once(spark):
     assert "rangepartitioning" not in plan(got)
 
 
+def test_metaphone_keys_are_made_of_distinct_terms(spark):
+    d = make(spark, {1: "there their", 2: "quick there"})
+    p = plan(Engine(d, phonetic="metaphone").run("there~")).split("\n")
+    keys, distinct = ([k for k, x in enumerate(p) if n in x] for n in ("ArrowEvalPython", "HashAggregate(keys=[term"))
+    assert len(keys) == 2 * 1 and all(any(i > k for i in distinct) for k in keys)  # of the set and of its norm
+    p = plan(scan.scan_metaphone(d, "there"))
+    assert 0 <= p.index("ArrowEvalPython") < p.index("HashAggregate")
+    assert {r.term: r.freq for r in scan.scan_metaphone(d, "there").collect()} == {"there": 2, "their": 1}
+
+
 def test_only_wanted_words_are_written(spark):
     tables._built.clear()
     QUERIES["op_near_n"](spark, SF)
