@@ -44,19 +44,32 @@ def headline(db: Database, ir: DataFrame, width: int = 80) -> DataFrame:
 
 def contexts(db: Database, ir: DataFrame, around: int = 40) -> DataFrame:
     """rec_id, n (from 1), s, e, before, hit, after: text around every hit, in characters."""
-    h = ir.select("rec_id", F.array_sort("hits").alias("hits")).join(db.texts, "rec_id").select("rec_id", "hits", F.encode("text", "UTF-8").alias("b"))
-    # a character has four bytes at most; what is cut in two at a window's far end lies beyond the characters taken
-    far = 4 * around
-    part = lambda a, n: F.make_valid_utf8(F.substring("b", (a + 1).cast("int"), n.cast("int")).cast("string"))
-
-    def one(x):
-        start = F.greatest(x["s"] - far, F.lit(0))
-        return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.right(part(start, x["s"] - start), F.lit(around)).alias("before"), part(x["s"], x["e"] - x["s"] + 1).alias("hit"), F.left(part(x["e"] + 1, F.lit(far)), F.lit(around)).alias("after")
-        )
-
-    h = h.select("rec_id", F.posexplode(F.transform("hits", one)).alias("n", "x"))
-    return h.select("rec_id", (F.col("n") + 1).alias("n"), "x.*")
+    h = ir.select("rec_id", F.array_sort("hits").alias("hits")).join(db.texts.hint("merge"), "rec_id").select("rec_id", "hits", "text")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            # a few records at a time, so that what is cut out of them stays small
+            for at in range(0, len(b), 64):
+                part = b.slice(at, 64)
+                cols: list[list] = [[] for _ in range(7)]
+                for rec, hits, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if not hits or text is None:
+                        continue
+                    s, e = [x["s"] for x in hits], [x["e"] for x in hits]
+                    first, last = s, [x + 1 for x in e]
+                    if not text.isascii():
+                        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+                        ends = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+                        first, last = np.searchsorted(ends, s, "right").tolist(), np.searchsorted(ends, last, "left") + 1
+                        last = last.tolist()
+                    for c, x in zip(cols, ([rec] * len(s), range(1, len(s) + 1), s, e, [text[max(0, i - around) : i] for i in first], [text[i:j] for i, j in zip(first, last)], [text[j : j + around] for j in last])):
+                        c += x
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["rec_id", "n", "s", "e", "before", "hit", "after"])
+
+    return h.mapInArrow(run, "rec_id bigint, n int, s bigint, e bigint, before string, hit string, after string")
 
 
 def nth_context(db: Database, ir: DataFrame, n: int, around: int = 40) -> DataFrame:
@@ -168,7 +181,7 @@ _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 def formatted(db: Database, ir: DataFrame, syntax: str = "SUTRS") -> DataFrame:
     """rec_id, record in SUTRS (plain), HTML, SGML, XML, RAW, JSON or USMARC-like lines."""
-    r = ir.select("rec_id", "score").join(db.records.select("rec_id", "key", "doctype", "lang"), "rec_id").join(db.texts, "rec_id")
+    r = ir.select("rec_id", "score").join(db.records.select("rec_id", "key", "doctype", "lang").hint("merge"), "rec_id").join(db.texts.hint("merge"), "rec_id")
     esc = F.col("text")
     for x, y in _ESCAPES:
         esc = F.replace(esc, F.lit(x), F.lit(y))

@@ -101,3 +101,18 @@ def test_pairs_of_a_record_are_counted_not_listed(spark):
     d = make(spark, {1: "a b a", 2: "b"})
     for q in ("a b NEAR:9", "a b DIST>500"):
         assert "Generate" not in plan(Engine(d).run(parse_rpn(q)))
+
+
+def test_contexts_against_slices(spark):
+    text = "é the 😀the the" + "–" * 50 + " the"
+    d = make(spark, {1: text, 2: "the", 3: "x"})
+    ir = Engine(d).run("the")
+    import re
+
+    got = [tuple(r) for r in present.contexts(d, ir, 4).orderBy("rec_id", "n").collect()]
+    want = []
+    for k, t in ((1, text), (2, "the")):
+        for n, m in enumerate(re.finditer(r"the", t), 1):
+            s = len(t[: m.start()].encode())
+            want.append((k, n, s, s + 2, t[max(0, m.start() - 4) : m.start()], "the", t[m.end() : m.end() + 4]))
+    assert got == want and "MapInArrow" in plan(present.contexts(d, ir)).split("Join")[0]
